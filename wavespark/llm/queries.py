@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavespark.llm import quality, storage
+from wavespark.llm import media, quality, storage
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored images are a table of the shared folder, with zstd; features come from what is read back."""
+    at = storage.shared_dir(spark, "media")
+    media.store(_read(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(at)
+    return media.features(spark.read.parquet(at)).drop("tile_npy")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(storage.table(quality.measures(_read(spark, sf_dir, "documents")), "measures"))
 
