@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavespark.llm import media, quality, storage
+from wavespark.llm import media, quality, storage, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(storage.table(quality.measures(_read(spark, sf_dir, "documents")), "measures"))
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if not tokenizer:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    files = tokens.write(_read(spark, sf_dir, "documents"), str(tokenizer), storage.shared_dir(spark, "ids"))
+    return tokens.read(spark, files)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
