@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavespark.llm import media, mixing, near, packing, quality, storage, tokens
+from wavespark.llm import lm, media, mixing, near, packing, quality, storage, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(storage.table(quality.measures(_read(spark, sf_dir, "documents")), "measures"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs.filter(~lm.held_out()), order))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(_read(spark, sf_dir, "documents"))
 
