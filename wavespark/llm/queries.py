@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavespark.llm import lm, media, mixing, near, packing, quality, storage, tokens
+from wavespark.llm import lm, media, mixing, near, packing, quality, storage, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFram
     return lm.score(docs, lm.train(docs.filter(~lm.held_out()), order))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = storage.shared_dir(spark, "warc")
+    parts = warc.write_index(warc.write_archives(_read(spark, sf_dir, "pages"), folder), folder)
+    return warc.read_back(spark, parts, folder).drop("url")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(_read(spark, sf_dir, "documents"))
 
@@ -48,9 +54,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return tokens.read(spark, files)
 
 
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS r FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN r = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN r = page_id THEN NULL ELSE r END AS refers_to FROM m
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.TAKEN_SQL}
+    return {"op4_warc": WARC_SQL, "op6_mixing": mixing.TAKEN_SQL}

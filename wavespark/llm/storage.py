@@ -37,7 +37,7 @@ def write_bytes(uri: str, *parts) -> int:
     store, path = resolve(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         for x in parts:
             out.write(x)
         size = out.tell()
@@ -67,7 +67,7 @@ def map_array(uri: str) -> np.ndarray:
         return np.load(path, mmap_mode="r")
     fd, own = tempfile.mkstemp()
     try:
-        with os.fdopen(fd, "wb") as out, store.open_input_stream(path) as f:
+        with os.fdopen(fd, "wb") as out, store.open_input_stream(path, compression=None) as f:
             while block := f.read(1 << 22):
                 out.write(block)
         return np.load(own, mmap_mode="r")

@@ -131,7 +131,7 @@ class Writer:
         self.store, self.path = storage.resolve(uri)
         self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.part = f"{self.path}.{uuid.uuid4().hex}"
-        self.out = self.store.open_output_stream(self.part)
+        self.out = self.store.open_output_stream(self.part, compression=None)
         self.out.write(MAGIC)
         self.bits, self.waiting, self.n_waiting, self.n = bits, [], 0, 0
         self.blocks, self.doc_ids, self.ends = [len(MAGIC)], [], []
