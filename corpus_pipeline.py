@@ -1,18 +1,38 @@
-"""The corpus pipeline: quality rules, n-gram Jaccard join, mixing sources to target weights, best-fit packing."""
+"""The corpus pipeline: quality rules, n-gram Jaccard join, mixing sources to target weights, best-fit packing.
+
+Every stage takes the documents that the stage before it kept and gives back their columns; the last gives the packed
+sequences. A document is a row: mixing may repeat rows, and packing packs each of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavespark.llm import quality, storage
+from wavespark.llm import mixing, near, packing, quality, storage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the label model and the base rules keep."""
+    """Documents that pass the base rules and that the label model takes for good."""
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that with the least doc_id."""
+    return near.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix reaches them: not at all, once, or up to three times."""
+    return mixing.repeat(docs)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each piece of each document in a packed sequence."""
+    return packing.best_fit(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("jaccard_join", jaccard_join), ("mix_sources", mix_sources), ("best_fit", best_fit)]
+#: expectation-maximisation and MinHash have no SQL; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
