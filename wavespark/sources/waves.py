@@ -34,6 +34,7 @@ def load_wave(spark: SparkSession, path: str) -> Wave:
     if kind == ".parquet":
         meta = spark.read.json(f"{path}/meta").first()
         return Wave(spark.read.parquet(f"{path}/signals"), spark.read.parquet(f"{path}/transitions"), meta["timescale"], path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else a reader may not offer it
     spark.dataSource.register(VcdSource)
     read = lambda table: spark.read.format("vcd").option("path", path).option("table", table).load()
     return Wave(read("signals"), mark_glitches(read("transitions").drop("glitch")), header(path)[1], path)
