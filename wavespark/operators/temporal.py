@@ -169,6 +169,12 @@ def last_transition(tr: DataFrame) -> DataFrame:
     return tr.groupBy("signal_id").agg(F.coalesce(F.max("t"), F.lit(-1)).alias("t"))
 
 
+def _number(x):
+    """Six significant digits, without zeros at the end."""
+    text = F.format_string("%.6g", x)
+    return F.when(F.instr(text, ".") > 0, F.regexp_replace(text, r"\.?0+(?=e|$)", "")).otherwise(text)
+
+
 def pattern(tr: DataFrame, ticks: int | None = None) -> DataFrame:
     """signal_id, n, avg_gap, kind (static, clock, dynamic) and a sentence. Clock-like: more than four records, every
     gap within 5 % of the mean."""
@@ -177,7 +183,7 @@ def pattern(tr: DataFrame, ticks: int | None = None) -> DataFrame:
     per = gaps.groupBy("signal_id").agg(F.count("*").alias("n"), F.avg("gap").alias("avg_gap"), F.min("gap").alias("lo"), F.max("gap").alias("hi"))
     even = (F.col("n") > 4) & (F.greatest(F.col("hi") - F.col("avg_gap"), F.col("avg_gap") - F.col("lo")) <= F.col("avg_gap") * 0.05)
     kind = F.when(even, "clock").otherwise("dynamic")
-    text = F.when(even, F.concat(F.lit("Clock-like signal, period "), F.format_string("%.6g", F.col("avg_gap") * 2), F.lit(" (half-period avg "), F.format_string("%.6g", F.col("avg_gap")), F.lit(")"))).otherwise(F.format_string("Dynamic signal with %d transitions.", F.col("n")))
+    text = F.when(even, F.concat(F.lit("Clock-like signal, period "), _number(F.col("avg_gap") * 2), F.lit(" (half-period avg "), _number(F.col("avg_gap")), F.lit(")"))).otherwise(F.format_string("Dynamic signal with %d transitions.", F.col("n")))
     return per.select("signal_id", "n", "avg_gap", kind.alias("kind"), text.alias("text"))
 
 
