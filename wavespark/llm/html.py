@@ -48,7 +48,7 @@ _NAMES = re.compile(
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 _SCOPE = frozenset("table td th caption button object applet html body article section main div li".split())
 _START = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
-_TAG = re.compile(r"""<!--(?:-?>|.*?--!?>)|<!\[CDATA\[(.*?)\]\]>|<(?!!--)[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.S)
+_TAG = re.compile(r"""<!--(?:-?>|.*?--!?>)|<!\[CDATA\[(.*?)\]\]>|<(?!!--)[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 

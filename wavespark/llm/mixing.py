@@ -114,7 +114,8 @@ class Mix:
         got = points.groupBy("source_no").agg(F.count("*").alias("got"))
         late = wanted.join(got, "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < need")
         late = late.select(F.lit(n).cast("long").alias("slot"), "source_no", F.explode(F.sequence("got", F.col("need") - 1)).alias("rank"))
-        return main.unionByName(late.withColumn("slot", F.col("slot") + F.col("rank") * len(self.order) + F.col("source_no")))
+        late = late.withColumn("slot", F.col("slot") + F.col("rank") * len(self.order) + F.col("source_no"))
+        return main.unionByName(late).select("slot", "source_no", "rank")
 
     def plan(self, placed: DataFrame) -> DataFrame:
         """slot, source_no, bucket, start (both of the document), first, words: which words of which document a

@@ -47,7 +47,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
     as these let the fewest dissimilar pairs through."""
     best = None
     for rows in range(1, most + 1):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(threshold**rows, 1 - 1e-12)))) if threshold**rows > 1e-15 else most + 1
         if bands * rows <= most:
             best = bands, rows
     if not best:
