@@ -83,8 +83,9 @@ def global_nets(endpoints: DataFrame, signals: DataFrame, least: int = GLOBAL_LO
 
 def bridges(endpoints: DataFrame) -> DataFrame:
     """Pairs (role, sig_id, path, next_id): signals that have the same path as endpoint of the opposite role."""
-    there = endpoints.select(F.when(F.col("role") == "driver", "load").otherwise("driver").alias("role"), "path", F.col("sig_id").alias("next_id"))
-    return endpoints.select("role", "sig_id", "path").join(there, ["role", "path"]).filter("sig_id != next_id").distinct()
+    own = endpoints.select("role", "sig_id", "path").distinct()
+    there = own.select(F.when(F.col("role") == "driver", "load").otherwise("driver").alias("role"), "path", F.col("sig_id").alias("next_id"))
+    return own.join(there, ["role", "path"]).filter("sig_id != next_id")
 
 
 def select_bits(endpoints: DataFrame, hi: int, lo: int) -> DataFrame:
