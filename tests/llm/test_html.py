@@ -23,6 +23,10 @@ MENU = '<nav><ul><li><a href="/a">Menu one</a><li><a href="/b">Menu two</a></ul>
     (f"<div>{LONG}</div><p hidden>no</p><p style='display: none'>no</p><div role=dialog>no</div>", [LONG]),
     (f"<div><a href=x><h2>Linked head</h2></a><p><b>{LONG}<p>{LONG}</div>", ["Linked head", LONG, LONG]),
     ("Only text", ["Only text"]), ("", []), ("<!-- open", []), ("a < b and 3 > 2", ["a < b and 3 > 2"]), (f"<p>{LONG}</p><p title='>'>x</p><![CDATA[y]]>", [LONG, "x", "y"]),
+    (f"<div class='page has-sidebar'><div class='post-header'><h1>Head</h1></div><p>{LONG}</p></div>", [LONG]), (f"<article><div class='post-header'><h1>Head</h1></div><p>{LONG}</p></article>", ["Head", LONG]),
+    (f"<div class='sidebar-layout'><main><p>{LONG}</p></main><div class=sidebar>{LONG}</div></div>", [LONG]), (f"<div class='nav-open wrapper'><p>{LONG}</p><p>{LONG}</p></div><div class=menu>Menu</div>", [LONG, LONG]),
+    (f"<p>{LONG}</p><ol class=commentlist><li><article class=comment>{LONG * 9}</article></ol>", [LONG]), (f"<p>{LONG}</p><article class='user-comment'>{LONG * 9}</article>", [LONG]),
+    (f"<div class=shadow id=adventure><p>{LONG}</p></div>", [LONG]),
     (f"<div class=cookie-notice>{LONG}</div><div id=comments>{LONG}</div><p>{LONG}</p>", [LONG]),
 ])
 def test_main_text(body, want):

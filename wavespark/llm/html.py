@@ -3,7 +3,8 @@
 A page is read into a tree as browsers read it, as far as text needs: raw text of scripts and the like, void
 elements, end tags left out, comments, character references. Elements that never hold an article's own words (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) go first, by tag, role, class
-or id. For each remaining node, C counts its characters, T its tags, LC and LT those of links; its density is
+or id; a class like ``sidebar`` on an element around the article, or around most of the page, is a layout's and goes
+for nothing. For each remaining node, C counts its characters, T its tags, LC and LT those of links; its density is
 
     C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCbody / Cbody * C + e)
 
@@ -40,10 +41,17 @@ DROP = frozenset(
     "head script style noscript template title nav footer aside form button input select textarea option datalist label iframe object embed applet svg math canvas audio video map menu dialog noembed noframes xmp fieldset".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|header|masthead|side-?bar|widgets?|comments?|commentlist|disqus\w*|replies|reply|respond|"
-    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|pagination|pager|skip|toolbar|copyright|legal|disclaimer|hidden|sr-only|visually-hidden)(?:$|[\s_-])"
+# fixed values: words of class and id names; SURE ones are never an article's, LOOSE ones may also name what is around it
+_SURE = re.compile(
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|breadcrumbs?|comments?|commentlist|commentform|disqus\w*|replies|respond|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|login|share|sharing|"
+    r"related|recommended|pagination|pager|skip|sr-only|visually-hidden)(?:$|[_-])"
 )
+_LOOSE = re.compile(r"(?:banner|nav|navbar|navigation|menu\w*|footer|side-?bar|widgets?|notices?|popup|modal|overlay|social|toolbar|copyright|legal|disclaimer|hidden)(?:$|[_-])")
+_HEADER = re.compile(r"(?:header|masthead)(?:$|[_-])")
+#: a name with one of these says what a page has, not what an element is
+_SAYS = re.compile(r"(?:has|no|with|without|is|js|enable|show|hide)[_-]")
+#: share of a page's text above which a LOOSE name is taken for a layout's
+_LAYOUT = 0.6
 #: an opening p, or one of these, ends what stands open, up to the element that holds it
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 _SCOPE = frozenset("table td th caption button object applet html body article section main div li".split())
@@ -56,7 +64,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Node:
     __slots__ = ("tag", "up", "parts", "drop", "c", "t", "lc", "lt", "density", "sum", "best")
 
-    def __init__(self, tag: str, up: Node | None, drop: bool):
+    def __init__(self, tag: str, up: Node | None, drop: int):
         self.tag, self.up, self.drop = tag, up, drop
         self.parts: list[Node | str] = []
         self.c = self.t = self.lc = self.lt = 0
@@ -64,27 +72,38 @@ class Node:
         self.best: Node | None = None
 
 
-def _boilerplate(tag: str, attributes: str, inside: set[str]) -> bool:
-    if tag in DROP or tag == "header" and not inside & {"article", "main"}:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def _named(pattern: re.Pattern, names: list[str]) -> bool:
+    """Does a name, or a part of it after - or _, begin with the word."""
+    return any(pattern.match(x) or any(pattern.match(x, m.end()) for m in re.finditer("[_-]", x)) for x in names)
+
+
+def _boilerplate(tag: str, attributes: str, inside) -> int:
+    """2: never part of an article. 1: not by its name, if the name isn't a layout's. 0: may be."""
+    if tag in DROP or tag == "header" and not inside():
+        return 2
+    if not attributes or tag in ("html", "body"):
+        return 0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in _ROLES or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "").lower()):
-        return True
+        return 2
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "hidden" else " ", attributes)):
-        return True
-    return any(_NAMES.search(found.get(k, "").lower()) for k in ("class", "id"))
+        return 2
+    names = [x for k in ("class", "id") for x in found.get(k, "").lower().split() if not _SAYS.match(x)]
+    if _named(_SURE, names):
+        return 2
+    if tag in ("article", "main"):
+        return 0
+    return int(_named(_LOOSE, names) or _named(_HEADER, names) and not inside())
 
 
 def parse(source: str) -> Node:
     """The tree of a page, from its body."""
-    root = Node("body", None, False)
+    root = Node("body", None, 0)
     stack = [root]
     at, n = 0, len(source)
 
     def text(s: str) -> None:
-        if s and not stack[-1].drop:
+        if s and stack[-1].drop < 2:
             stack[-1].parts.append(entities.unescape(s) if "&" in s else s)
 
     def close(to: int) -> None:
@@ -134,14 +153,14 @@ def parse(source: str) -> Node:
         if tag in "h1 h2 h3 h4 h5 h6".split() and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             stack.pop()
         up = stack[-1]
-        drop = up.drop or _boilerplate(tag, m[4], {x.tag for x in stack} if tag == "header" else set())
+        drop = 2 if up.drop == 2 else _boilerplate(tag, m[4], lambda: any(x.tag in ("article", "main") for x in stack))
         node = Node(tag, up, drop)
         up.parts.append(node)
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            if not drop:
+            if drop < 2:
                 node.parts.append(source[at : end.start() if end else n])
             at = end.end() if end else n
             continue
@@ -151,12 +170,33 @@ def parse(source: str) -> Node:
         if stack[-1].tag == "head" and tag not in ("meta", "link", "base", "template", "noscript"):
             stack.pop()  # the head's end tag was left out
             up.parts.pop()
-            node.up, node.drop = stack[-1], _boilerplate(tag, m[4], set())
+            node.up, node.drop = stack[-1], _boilerplate(tag, m[4], bool)
             stack[-1].parts.append(node)
         stack.append(node)
+    _spare_layouts(root)
     return root
 
 
+def _spare_layouts(root: Node) -> None:
+    """Keep what a LOOSE name would drop, where it holds an article or main element or most of the page's text."""
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += [x for x in node.parts if isinstance(x, Node) and x.drop < 2]
+    if not any(x.drop for x in nodes):
+        return
+    size: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    for node in reversed(nodes):
+        inner = [x for x in node.parts if isinstance(x, Node) and x.drop < 2]
+        size[id(node)] = sum(sum(map(len, x.split())) for x in node.parts if isinstance(x, str)) + sum(size[id(x)] for x in inner)
+        holds[id(node)] = node.tag in ("article", "main") or any(holds[id(x)] for x in inner)
+    for node in nodes:
+        if node.drop == 1 and (holds[id(node)] or size[id(node)] > _LAYOUT * size[id(root)]):
+            node.drop = 0
+
+
 def _walk(root: Node) -> list[Node]:
     """All kept nodes, parents first."""
     out, todo = [], [root]
