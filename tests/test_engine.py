@@ -3,6 +3,7 @@ import json
 import pytest
 
 from tests.test_graph import design  # noqa: F401
+from wavespark import printers
 from wavespark.api import Engine
 from wavespark.session import Sessions, expand_groups, time_of
 from wavespark.sources.waves import Wave
@@ -38,6 +39,26 @@ def test_queries(engine, tmp_path):
         engine.dump_waveform_data(["top.hit"], 0, 100, out, "samples")
 
 
+def test_requests(engine):
+    assert engine.query("nope")["status"] == "error"
+    assert engine.query("get_signal_info", {"path": "no"})["message"].startswith("Query failed")
+    assert engine.query("find_edge", {"path": "top.hit", "edge": "posedge"}) == {"status": "success", "data": 95}
+    engine.query("create_bookmark", {"name": "b", "t": 100})
+    engine.query("set_cursor", {"t": "BM_b"})
+    assert engine.query("get_value_at_time", {"path": "top.flag", "t": "Cursor"})["data"] == "rising"
+    assert engine.query("move_cursor", {"by": -500})["data"] == 0 and list(engine.query("list_bookmarks")["data"]) == ["b"]
+    engine.query("create_signal_group", {"name": "g", "signals": ["top.hit", "top.a"]})
+    assert engine.query("get_snapshot", {"paths": ["g"], "t": 99, "groups": True})["data"] == {"top.hit": "1", "top.a": "1"}
+    answer = engine.query("rank_cone_by_time", {"signal": "top.flag", "t": 100})
+    assert json.loads(json.dumps(answer))["data"]["all_signals"][0]["total"] > 0
+    assert json.loads(printers.trace_json(engine.rtl_trace("top.flag")))["summary"]["count"] == 1 and "flag <= hit" in printers.trace_text(engine.rtl_trace("top.flag"))
+    rows, stops = engine.hier()
+    assert json.loads(printers.hierarchy_json(rows, stops))["tree"]["children"][0]["path"] == "top.u_cons" and printers.hierarchy_text(rows).startswith("top (top)")
+    assert json.loads(printers.whereis_json(*engine.whereis_instance("top.u_cons")))["params"][0]["value"] == "6"
+    assert json.loads(printers.find_json(*engine.find("top.pkt.vald")))["suggestions"][0] == "top.pkt.valid"
+    assert json.loads(printers.rows_json(engine.list_signals("top.a")).first()["json"])["path"] == "top.a"
+
+
 def test_cross_link(engine):
     found = engine.rank_cone_by_time("top.flag", 100)
     assert [r["signal"] for r in found["most_active_near_time"].collect()][0] == "top.flag"

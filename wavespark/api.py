@@ -56,6 +56,60 @@ class Engine:
     def _last(self) -> int:
         return self._one(self.wave.transitions.agg(F.max("t").alias("t")), "t") or 0
 
+    #: tools that a request may name
+    TOOLS = (
+        "list_signals", "list_signals_page", "get_signal_info", "get_snapshot", "get_value_at_time", "find_edge", "find_condition", "find_value_intervals", "get_transitions", "count_transitions", "get_signal_overview", "analyze_pattern",
+        "dump_waveform_data", "create_signal_expression", "update_signal_expression", "delete_signal_expression", "list_signal_expressions", "create_bus_concat", "create_bus_slice", "create_bus_slices", "create_reversed_bus",
+        "set_cursor", "move_cursor", "get_cursor", "create_bookmark", "delete_bookmark", "list_bookmarks", "create_signal_group", "update_signal_group", "delete_signal_group", "list_signal_groups",
+        "rtl_trace", "hier", "find", "whereis_instance", "rank_cone_by_time", "trace_with_snapshot", "explain_signal_at_time", "explain_edge_cause",
+    )
+
+    def query(self, cmd: str, args: dict | None = None) -> dict:
+        """A request by tool name, as a JSON-ready answer; errors are answers, too."""
+        if cmd not in self.TOOLS:
+            return {"status": "error", "message": f"Unknown command: {cmd}"}
+        try:
+            return {"status": "success", "data": _plain(getattr(self, cmd)(**(args or {})))}
+        except Exception as e:
+            return {"status": "error", "message": f"Query failed: {e}"}
+
+    # --- cursor, bookmarks, groups ---
+
+    def set_cursor(self, t) -> int:
+        self.session = self.sessions.set_cursor(self.session, self.at(t))
+        return self.session["cursor_time"]
+
+    def move_cursor(self, by: int) -> int:
+        self.session = self.sessions.move_cursor(self.session, by)
+        return self.session["cursor_time"]
+
+    def get_cursor(self) -> int:
+        return self.session["cursor_time"]
+
+    def create_bookmark(self, name: str, t, description: str = "") -> dict:
+        self.session = self.sessions.set_bookmark(self.session, name, self.at(t), description)
+        return self.session["bookmarks"][name.strip()]
+
+    def delete_bookmark(self, name: str) -> None:
+        self.session = self.sessions.delete_bookmark(self.session, name)
+
+    def list_bookmarks(self) -> dict:
+        return dict(sorted(self.session["bookmarks"].items()))
+
+    def create_signal_group(self, name: str, signals: list[str], description: str = "") -> dict:
+        self.session = self.sessions.set_group(self.session, name, signals, description)
+        return self.session["signal_groups"][name.strip()]
+
+    def update_signal_group(self, name: str, signals: list[str], description: str = "") -> dict:
+        self.session = self.sessions.set_group(self.session, name, signals, description, update=True)
+        return self.session["signal_groups"][name.strip()]
+
+    def delete_signal_group(self, name: str) -> None:
+        self.session = self.sessions.delete_group(self.session, name)
+
+    def list_signal_groups(self) -> dict:
+        return dict(sorted(self.session["signal_groups"].items()))
+
     # --- signals ---
 
     def list_signals(self, pattern: str = "", types: list[str] | None = None) -> DataFrame:
@@ -239,6 +293,17 @@ class Engine:
         return {"edge_time": at, "value_before": self.get_value_at_time(mapped, max(0, at - 1)), "value_at": self.get_value_at_time(mapped, at)} | self.explain_signal_at_time(signal, at, **options)
 
 
+def _plain(x):
+    """DataFrames, rows and records as lists and dicts."""
+    if isinstance(x, DataFrame):
+        return [_plain(r.asDict(recursive=True)) for r in x.collect()]
+    if isinstance(x, (graph.Trace, Derived)):
+        return _plain(vars(x))
+    if isinstance(x, dict):
+        return {str(k): _plain(v) for k, v in x.items()}
+    return [_plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+
 def _stored(name: str, d: dict) -> Derived:
     def tree(x):
         return ("cat", [tree(y) for y in x[1]]) if x[0] == "cat" else tuple(tree(y) if isinstance(y, list) else y for y in x)

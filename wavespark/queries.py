@@ -16,6 +16,7 @@ from wavespark.functions import bits, paths, values
 from wavespark.operators import catalog, graph, mapping, overview, ranking, temporal
 from wavespark.operators.carry import chunk_ticks
 from wavespark.plans import derived, expression
+from wavespark.streaming import transitions
 
 HOUR = 3_600_000_000
 #: fixed values: times in the events' first days
@@ -244,6 +245,21 @@ def overview_auto(spark, d):
     return overview.auto_resolution(tr, _MID // HOUR, _END // HOUR)
 
 
+@_query("""WITH {TR}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY signal_id ORDER BY t, seq) AS gap FROM tr),
+i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY signal_id ORDER BY t, seq) AS k FROM g)
+SELECT signal_id, min(t) AS "start", max(t) + 7200000000 AS "end", count(*) AS n FROM i GROUP BY signal_id, k""")
+def burst_sessions(spark, d):
+    """The batch form of the streaming bursts."""
+    rows = _tr(spark, d).withColumn("ts", F.timestamp_micros("t"))
+    return transitions.bursts(rows, "2 hours").select("signal_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
+@_query("""WITH {TR} SELECT signal_id, t AS "start", v, count(*) AS n FROM hours WHERE v = 'x' GROUP BY ALL""")
+def window_counts_batch(spark, d):
+    rows = _tr(spark, d).filter("v = 'x'").withColumn("ts", F.timestamp_micros("t"))
+    return transitions.window_counts(rows, "1 hour").select("signal_id", F.floor(F.unix_micros("start") / HOUR).alias("start"), "v", "n")
+
+
 # --- values ---
 
 
@@ -495,6 +511,54 @@ def endpoint_order(spark, d):
     return graph.sort_endpoints(_ends(spark, d).filter("sig_id <= 10"), "p1").select("ep_id", "score")
 
 
+@_query(f"WITH {_DESIGN} SELECT path, max(n) AS n FROM (SELECT replace(path, 'building', 'machinery') AS path, 1 AS n FROM design UNION ALL SELECT path, 1 FROM design) GROUP BY path")
+def symbols_deduped(spark, d):
+    s = _design(spark, d).select("path")
+    every = s.select(F.regexp_replace("path", "building", "machinery").alias("path")).unionByName(s)
+    return graph.dedupe_symbols(every).select("path", F.lit(1).alias("n"))
+
+
+@_query("""SELECT 'endpoints.sig_id' AS "check", count(*) FILTER (l_suppkey % 7 = 0) AS n FROM lineitem UNION ALL SELECT 'refs.ep_id', 0 UNION ALL SELECT 'signals.parent_sig_id', 0 UNION ALL SELECT 'hier.parent', 0 UNION ALL SELECT 'params.inst_path', count(*) FROM nation""")
+def referential_checks(spark, d):
+    """Suppliers without every seventh as signals, nations as parameters of instances that aren't there."""
+    s = _read(spark, d, "supplier").filter("s_suppkey % 7 != 0").select(F.col("s_suppkey").alias("sig_id"), F.lit(None).cast("long").alias("parent_sig_id"), F.col("s_name").alias("path"))
+    ends = _ends(spark, d)
+    params = _read(spark, d, "nation").select(F.col("n_name").alias("inst_path"))
+    return graph.referential_errors({"signals": s, "endpoints": ends, "refs": ends.select("ep_id"), "hier": _hier(spark, d), "params": params})
+
+
+@_query(f"""WITH {_DESIGN}, {_ENDS}, h AS (SELECT path FROM design UNION SELECT regexp_extract(path, '^(.*)\\.[^.]*$', 1) FROM design UNION SELECT split_part(path, '.', 1) FROM design)
+SELECT 'signals' AS what, count(*) AS n FROM design UNION ALL SELECT 'hierarchy', count(*) FROM h UNION ALL SELECT 'ref_paths', count(DISTINCT (role, path)) FROM ends""")
+def graph_stats(spark, d):
+    return graph.stats({"signals": _design(spark, d), "hier": _hier(spark, d), "endpoints": _ends(spark, d)})
+
+
+@_query("SELECT n_name AS inst_path, CAST(0 AS INTEGER) AS pos, CAST(n_regionkey AS VARCHAR) AS value FROM nation WHERE n_name = 'NATION_7' OR n_nationkey = 7")
+def whereis_params(spark, d):
+    n = _read(spark, d, "nation")
+    name = n.filter("n_nationkey = 7").first()["n_name"]
+    tables = {"hier": n.select(F.col("n_name").alias("path")), "params": n.select(F.col("n_name").alias("inst_path"), F.lit(0).alias("pos"), F.col("n_regionkey").cast("string").alias("value"))}
+    return graph.whereis(tables, name)[1]
+
+
+@_query()
+def trace_drivers(spark, d):
+    """Endpoints that drive one part, over suppliers as signals: a walk with ports, filters and stops."""
+    names = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("sig_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"))
+    ends = _ends(spark, d).filter("line <= 2").drop("lo", "hi")
+    refs = ends.select("ep_id", F.lit("rhs").alias("side"), F.lit(0).alias("pos"), F.concat(F.lit("s"), (F.col("sig_id") + 1).cast("string")).alias("path"))
+    none = spark.createDataFrame([], "lhs_path string, sig_id long"), spark.createDataFrame([], "source string, category string, sink string")
+    found = graph.trace({"signals": names, "endpoints": ends, "refs": refs, "assign_lhs": none[0], "global": none[1]}, "s1", graph.TraceOptions(cone=3))
+    return spark.createDataFrame([(e["ep_id"], e["path"], e["kind"]) for e in found.endpoints], "ep_id long, path string, kind string")
+
+
+@_query(f"WITH {_DESIGN} SELECT CASE WHEN sig_id % 2 = 0 THEN path || '[3:0]' ELSE 'TOP.' || path END AS path, path AS mapped FROM design")
+def map_signals_by_base(spark, d):
+    s = _design(spark, d)
+    names = s.select(F.when(F.col("sig_id") % 2 == 0, F.concat("path", F.lit("[3:0]"))).otherwise(F.concat(F.lit("TOP."), "path")).alias("path"))
+    return mapping.map_signals(names, s, by_base=True)
+
+
 # --- ranking ---
 
 _R0, _R1, _RT = _MID // HOUR - 48, _MID // HOUR + 48, _MID // HOUR
