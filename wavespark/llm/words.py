@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 NEWLINE = 10
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _BLOCK = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
