@@ -51,7 +51,7 @@ def test_requests(engine):
     assert engine.query("get_snapshot", {"paths": ["g"], "t": 99, "groups": True})["data"] == {"top.hit": "1", "top.a": "1"}
     answer = engine.query("rank_cone_by_time", {"signal": "top.flag", "t": 100})
     assert json.loads(json.dumps(answer))["data"]["all_signals"][0]["total"] > 0
-    assert json.loads(printers.trace_json(engine.rtl_trace("top.flag")))["summary"]["count"] == 1 and "flag <= hit" in printers.trace_text(engine.rtl_trace("top.flag"))
+    assert json.loads(printers.trace_json(engine.trace("top.flag")))["summary"]["count"] == 1 and "flag <= hit" in printers.trace_text(engine.trace("top.flag"))
     rows, stops = engine.hier()
     assert json.loads(printers.hierarchy_json(rows, stops))["tree"]["children"][0]["path"] == "top.u_cons" and printers.hierarchy_text(rows).startswith("top (top)")
     assert json.loads(printers.whereis_json(*engine.whereis_instance("top.u_cons")))["params"][0]["value"] == "6"

@@ -183,11 +183,11 @@ def test_bad_files(spark, tmp_path):
 
 
 def test_list_signals(spark):
-    rows = [("top.clk", "input"), ("top.done", "output"), ("top.data[7:0]", "reg"), ("top.ready", "wire"), ("top.bidir", "inout"), ("top.u_axi.nvdla_core2cvsram_ar_valid", "wire"), ("top.u_axi.nvdla_core2cvsram_ar_addr[31:0]", "wire"), ("top.u_axi.inner_reg", "reg"), ("top.u_other.other_sig", "wire")]
+    rows = [("top.clk", "input"), ("top.done", "output"), ("top.data[7:0]", "reg"), ("top.ready", "wire"), ("top.bidir", "inout"), ("top.u_axi.core_mem_rd_valid", "wire"), ("top.u_axi.core_mem_rd_addr[31:0]", "wire"), ("top.u_axi.inner_reg", "reg"), ("top.u_other.other_sig", "wire")]
     signals = spark.createDataFrame([(p, p, 1, t, p) for p, t in rows], "path string, name string, width int, type string, signal_id string")
     paths = lambda *a: [r["path"] for r in catalog.list_signals(signals, *a).collect()]
     assert paths("") == ["top.bidir", "top.clk", "top.data[7:0]", "top.done", "top.ready"]
-    assert paths("top.u_axi.nvdla_core2cvsram_ar_*") == ["top.u_axi.nvdla_core2cvsram_ar_addr[31:0]", "top.u_axi.nvdla_core2cvsram_ar_valid"]
+    assert paths("top.u_axi.core_mem_rd_*") == ["top.u_axi.core_mem_rd_addr[31:0]", "top.u_axi.core_mem_rd_valid"]
     assert paths("*", ["input", "register"]) == ["top.clk", "top.data[7:0]", "top.u_axi.inner_reg"]
     with pytest.raises(ValueError, match="unknown signal types"):
         paths("*", ["bogus"])

@@ -61,7 +61,7 @@ class Engine:
         "list_signals", "list_signals_page", "get_signal_info", "get_snapshot", "get_value_at_time", "find_edge", "find_condition", "find_value_intervals", "get_transitions", "count_transitions", "get_signal_overview", "analyze_pattern",
         "dump_waveform_data", "create_signal_expression", "update_signal_expression", "delete_signal_expression", "list_signal_expressions", "create_bus_concat", "create_bus_slice", "create_bus_slices", "create_reversed_bus",
         "set_cursor", "move_cursor", "get_cursor", "create_bookmark", "delete_bookmark", "list_bookmarks", "create_signal_group", "update_signal_group", "delete_signal_group", "list_signal_groups",
-        "rtl_trace", "hier", "find", "whereis_instance", "rank_cone_by_time", "trace_with_snapshot", "explain_signal_at_time", "explain_edge_cause",
+        "trace", "hier", "find", "whereis_instance", "rank_cone_by_time", "trace_with_snapshot", "explain_signal_at_time", "explain_edge_cause",
     )
 
     def query(self, cmd: str, args: dict | None = None) -> dict:
@@ -227,7 +227,7 @@ class Engine:
 
     # --- structure ---
 
-    def rtl_trace(self, signal: str, **options) -> graph.Trace:
+    def trace(self, signal: str, **options) -> graph.Trace:
         return graph.trace(self.graph, signal, graph.TraceOptions(**options))
 
     def hier(self, root: str | None = None, depth: int = 8, max_nodes: int = 5000):
