@@ -7,13 +7,16 @@ recall wanted at the threshold: a pair at the threshold is missed with probabili
 1. Documents with equal sets are one variant; everything below is about variants, so copies cost one row each.
 2. Variants are shuffled on band hashes. In each bucket all are compared with one of them, the star, on their full
    sets: as many pairs as the bucket has members.
-3. Where a member isn't similar to its star, the bucket is compared whole: in blocks, whose texts meet in one
-   task, and only links that connect the bucket come out. So no link between two members of a bucket is lost.
+3. Members that aren't similar to their star are compared with the rest of their bucket: in blocks, whose texts meet
+   in one task, and only links that connect the bucket come out. So no link within a bucket is lost.
 4. Links make classes (connected components, by alternating large and small stars).
-5. Each class is compared whole, in blocks again, to count every variant's links.
+5. Links of a class are counted. Jaccard distance is a metric: two variants whose distances from the class's centre
+   add up to 1 - THRESHOLD at most are similar, and a histogram of distances counts those. Only variants further
+   out (``far``) are compared, again in blocks.
 
-No step emits all pairs of a group; blocks bound a task's memory, so there is no cap on the members of a bucket or
-class. A hot bucket costs shuffle rows in proportion to its blocks. Copies are counted by partial aggregation.
+No step emits all pairs of a group, and a tight group of any size costs time in proportion to its rows; the far ones
+of a loose group meet all of it, block by block. Blocks bound a task's memory, so nothing has a cap. Copies are
+counted by partial aggregation.
 
 Defined results: a null text is an empty text; texts without a word have no shingles and no links, and each is a
 class of its own, also where they are equal. Rows of one doc_id are judged by their texts; a null doc_id is never
@@ -175,12 +178,12 @@ def _similar(shared: np.ndarray, a, b, threshold: float) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
-    """star, vid and ok from both texts; neighbouring rows mostly share their star."""
+    """star, vid, ok and the distance d from both texts; neighbouring rows mostly share their star."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, star_set = None, None
         for b in batches:
-            ok = []
+            ok, d = [], []
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
                 stars = part.column(0).to_pylist()
@@ -189,13 +192,14 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
                         star, star_set = stars[k], _sets(part.column(3).slice(k, 1))[0]
                     n = np.intersect1d(own, star_set, assume_unique=True).size
                     ok.append(bool(_similar(n, len(own), len(star_set), threshold)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["star", "vid", "ok"])
+                    d.append(1 - n / (len(own) + len(star_set) - n))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_()), pa.array(d, pa.float64())], ["star", "vid", "ok", "d"])
 
-    return pairs.select("star", "vid", "text", "star_text").mapInArrow(run, "star long, vid long, ok boolean")
+    return pairs.select("star", "vid", "text", "star_text").mapInArrow(run, "star long, vid long, ok boolean, d double")
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set of ``left``, the positions of the similar sets of ``right``."""
+def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, meet) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of ``left``, the positions of the similar sets among those of ``right`` that ``meet`` picks."""
     if not len(left) or not len(right):
         return
     sizes = np.array([len(s) for s in sets])
@@ -207,32 +211,40 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
         mark[ids[i]] = 1
         shared = np.add.reduceat(mark[flat], at)
         mark[ids[i]] = 0
-        hit = right[_similar(shared, sizes[i], sizes[right], threshold)]
+        hit = right[_similar(shared, sizes[i], sizes[right], threshold) & meet(i, right)]
         yield int(i), hit[hit != i]
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Rows (group, vid, weight, text) dealt to pairs of blocks of their group: adds nb, block, p, q."""
-    per = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / BLOCK_BYTES)).cast("int").alias("nb"))
-    rows = members.join(per, "group").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    return rows.withColumn("o", other).withColumn("p", F.least("block", "o")).withColumn("q", F.greatest("block", "o")).drop("o")
+    """Rows (group, vid, far, text, ...) dealt to pairs (p, q) of blocks of their group, so that each far one meets
+    all others; ``slot`` is a row's own block. Groups without a far row have no pairs."""
+
+    def blocks(far):
+        n, size = F.count_if(far), F.sum(F.when(far, F.length("text")).otherwise(0))
+        return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    per = members.groupBy("group").agg(blocks(F.col("far")).alias("nf"), blocks(~F.col("far")).alias("nn")).filter("nf > 0")
+    rows = members.join(per, "group").withColumn("slot", F.when(F.col("far"), F.pmod(F.xxhash64("vid"), F.col("nf"))).otherwise(F.col("nf") + F.pmod(F.xxhash64("vid"), F.greatest("nn", F.lit(1)))).cast("int"))
+    last = F.when(F.col("far"), F.col("nf") + F.col("nn") - 1).otherwise(F.col("nf") - 1)
+    return rows.withColumn("o", F.explode(F.sequence(F.lit(0), last))).withColumn("p", F.least("slot", "o")).withColumn("q", F.greatest("slot", "o")).drop("o", "nf", "nn")
 
 
 def _in_blocks(rows: pd.DataFrame, p: int, q: int):
-    rows = rows.sort_values("vid", kind="stable")
-    block = rows["block"].to_numpy()
-    sets = _sets(pa.array(rows["text"], pa.large_string()))
-    return rows["vid"].to_numpy(), rows["weight"].to_numpy(), sets, np.flatnonzero(block == p), np.flatnonzero(block == q)
+    rows = rows.sort_values("vid", kind="stable").reset_index(drop=True)
+    slot = rows["slot"].to_numpy()
+    return rows, _sets(pa.array(rows["text"], pa.large_string())), np.flatnonzero(slot == p), np.flatnonzero(slot == q)
 
 
 def _spanning(members: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that connect what is connected within each group."""
+    """Links (a, b) that connect the far rows with each other and with the rest of their group. The rest is connected
+    already, through its star; d is the distance from it."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, p, q = (int(x) for x in key)
-        vid, _, sets, left, right = _in_blocks(rows, p, q)
-        root = list(range(len(vid)))
+        rows, sets, left, right = _in_blocks(rows, p, q)
+        vid, far, d = (rows[c].to_numpy() for c in ("vid", "far", "d"))
+        near = np.flatnonzero(~far)
+        root = [int(near[0]) if not f else k for k, f in enumerate(far)]
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -241,7 +253,7 @@ def _spanning(members: DataFrame, threshold: float) -> DataFrame:
             return x
 
         out = []
-        for i, hits in _links(sets, left, right, threshold):
+        for i, hits in _links(sets, left, right, threshold, lambda i, r: np.abs(d[r] - d[i]) <= 1 - threshold + 1e-9):
             for j in hits.tolist():
                 a, b = find(i), find(j)
                 if a != b:
@@ -252,20 +264,36 @@ def _spanning(members: DataFrame, threshold: float) -> DataFrame:
     return _blocks(members).groupBy("group", "p", "q").applyInPandas(run, "a long, b long")
 
 
-def _degrees(members: DataFrame, threshold: float) -> DataFrame:
-    """vid and the weight of all variants of its group that it links to."""
+#: steps of the distance in the histogram
+_STEPS = 1024
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+
+def _degrees(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """vid and the weight of all variants of its group that it links to; d: the distance from the group's centre, null
+    where it isn't known."""
+    reach = math.floor((1 - threshold) * _STEPS + 1e-9)
+    rows = members.withColumn("step", F.ceil(F.col("d") * _STEPS).cast("int"))  # null where d is
+    rows = rows.withColumn("far", F.coalesce(2 * F.col("step") > reach, F.lit(True)))
+    counts = rows.filter(F.col("step") <= reach).groupBy("group", "step").agg(F.sum("weight").alias("w"))
+    table = counts.groupBy("group").agg(F.collect_list(F.struct("step", "w")).alias("table"))  # a row for each step at most
+    sure = F.aggregate(F.filter("table", lambda x: x["step"] + F.col("step") <= reach), F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    own = F.when(~F.col("far"), F.col("weight")).otherwise(0)
+    certain = rows.join(table, "group").select("vid", (F.when(F.col("step") <= reach, sure).otherwise(0) - own).alias("n"))
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         _, p, q = (int(x) for x in key)
-        vid, weight, sets, left, right = _in_blocks(rows, p, q)
-        n = np.zeros(len(vid), np.int64)
-        for i, hits in _links(sets, left, right, threshold):
+        part, sets, left, right = _in_blocks(part, p, q)
+        weight, n = part["weight"].to_numpy(), np.zeros(len(part), np.int64)
+        step = part["step"].fillna(2 * _STEPS).to_numpy()
+        for i, hits in _links(sets, left, right, threshold, lambda i, r: step[r] + step[i] > reach):
             n[i] += weight[hits].sum()
             if p != q:
                 n[hits] += weight[i]
-        return pd.DataFrame({"vid": vid, "n": n})
+        return pd.DataFrame({"vid": part["vid"], "n": n})
 
-    return _blocks(members).groupBy("group", "p", "q").applyInPandas(run, "vid long, n long").groupBy("vid").agg(F.sum("n").alias("links"))
+    compared = rows.join(rows.filter("far").select("group").distinct(), "group", "left_semi").join(texts, "vid")
+    found = _blocks(compared).groupBy("group", "p", "q").applyInPandas(run, "vid long, n long")
+    return certain.unionByName(found).groupBy("vid").agg(F.sum("n").alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -315,7 +343,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     mixed = members.join(checked.filter("not ok").select("star", "vid"), ["star", "vid"], "left_semi").select("key").distinct()
     same = members.join(mixed, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("vid").bitwiseAND((1 << 40) - 1)).alias("s"), F.bit_xor(F.xxhash64("vid")).alias("x"))
     mixed = storage.table(same.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"), "mixed")
-    whole = members.join(mixed, "key", "left_semi").select(F.col("key").alias("group"), "vid", F.lit(1).cast("long").alias("weight")).join(texts, "vid")
+    whole = members.join(mixed, "key", "left_semi").join(checked, ["star", "vid"], "left")
+    whole = whole.select(F.col("key").alias("group"), "vid", F.coalesce("d", F.lit(0.0)).alias("d"), (~F.coalesce("ok", F.lit(True))).alias("far")).join(texts, "vid")
     edges = checked.filter("ok").select(F.col("star").alias("a"), F.col("vid").alias("b")).unionByName(_spanning(whole, threshold))
     roots = storage.table(components(edges), "roots")
 
@@ -324,8 +353,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     classed = roots.join(ids, "root").select("vid", "class_id")
     out = narrow.join(classed, "vid", "left").withColumn("class_id", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
     if count_links:
-        group = roots.join(narrow, "vid").select(F.col("root").alias("group"), "vid", F.col("copies").alias("weight")).join(texts, "vid")
-        out = out.join(_degrees(group, threshold), "vid", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1).drop("links")
+        away = checked.select(F.col("star").alias("root"), "vid", "d")
+        group = roots.join(narrow, "vid").join(away, ["root", "vid"], "left")
+        group = group.select(F.col("root").alias("group"), "vid", F.col("copies").alias("weight"), F.when(F.col("vid") == F.col("root"), 0.0).otherwise(F.col("d")).alias("d"))
+        out = out.join(_degrees(group, texts, threshold), "vid", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1).drop("links")
     return found.select("doc_id", "vid"), out
 
 
