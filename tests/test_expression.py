@@ -74,3 +74,21 @@ def test_shown(spark, v, width, radix, shown):
 ])
 def test_query_bits(value, width, radix, bits):
     assert values.query_bits(value, width, radix) == bits
+
+
+@pytest.mark.parametrize(("text", "scope", "path"), [
+    ("assign top.a = b", "top.u", "top.a"), ("q <= d + 1", "top.u", "top.u.q"), ("x[3:0] = y", "top", "top.x"), ("  y = a == b", "", "y"), ("a == b", "top", None), ("", "top", None), ("m <= (a <= b)", "t", "t.m"),
+])
+def test_assigned(spark, text, scope, path):
+    from wavespark.functions import paths
+
+    assert spark.range(1).select(paths.assigned(F.lit(text), F.lit(scope)).alias("p")).first()["p"] == path
+
+
+def test_paths(spark):
+    from wavespark.functions import paths
+
+    p = F.lit("TOP.a.b[7:0]")
+    row = spark.range(1).select(paths.parent(p).alias("parent"), paths.leaf(p).alias("leaf"), paths.without_top(p).alias("top"), paths.base(p).alias("base"), paths.ancestors(F.lit("a.b.c")).alias("up"), *(c.alias(n) for c, n in zip(paths.span(F.lit("[2:5]")), ("hi", "lo"), strict=True))).first()
+    assert tuple(row) == ("TOP.a", "b[7:0]", "a.b[7:0]", "TOP.a.b", ["a", "a.b", "a.b.c"], 5, 2)
+    assert paths.glob("a*b?") == "^a.*b.$" and paths.split_select("a.b[3]") == ("a.b", (3, 3)) and paths.split_select("a") == ("a", None)

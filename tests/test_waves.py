@@ -119,6 +119,7 @@ def test_derived(spark):
     for name, want in (("ab", "b11"), ("bus_rev", "b0101"), ("bus_upper", "b10"), ("parts_3_2", "b10"), ("parts_1_0", "b10")):
         assert made.log(signals, every, name, 21, 21).first()["v"] == want
     made.create_expression("both", "and_ab | bus_upper")
+    assert made.last_transition(signals, every, "and_ab").first()["t"] == 50
     assert made.layers()[-1] == ["both"] and made.dependents("and_ab") == ["both"] and made.leaves("both") == ["a", "b", "bus"]
     with pytest.raises(ValueError, match="used by"):
         made.delete("and_ab")
@@ -169,6 +170,7 @@ def test_vcd(spark, tmp_path):
     waves.save_wave(wave, str(tmp_path / "a.parquet"))
     again = waves.load_wave(spark, str(tmp_path / "a.parquet"))
     assert again.timescale == "1ns" and sorted(map(tuple, again.transitions.collect())) == sorted(map(tuple, wave.transitions.collect()))
+    assert header(f"file://{file}") == header(str(file)) and list(records(f"file://{file}", known, start, size, True)) == whole
     only = spark.read.format("vcd").option("path", str(file)).load().filter("signal_id = '!'")
     assert only.count() == 4
 

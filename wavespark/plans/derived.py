@@ -7,6 +7,8 @@ row, at the window's start, is a seed.
 
 from __future__ import annotations
 
+from collections import ChainMap
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -34,11 +36,11 @@ class Derived:
 class Registry:
     """Derived signals by name; ``widths`` are those of recorded signals."""
 
-    widths: dict[str, int]
+    widths: Mapping[str, int]
     made: dict[str, Derived] = field(default_factory=dict)
 
-    def _widths(self) -> dict[str, int]:
-        return self.widths | {k: d.width for k, d in self.made.items()}
+    def _widths(self) -> Mapping[str, int]:
+        return ChainMap({k: d.width for k, d in self.made.items()}, self.widths)
 
     def _put(self, items: list[Derived], update: bool = False) -> list[Derived]:
         """All or none."""
@@ -140,6 +142,11 @@ class Registry:
     def leaves(self, name: str) -> list[str]:
         return expression.references(self.inline(self.get(name).tree))
 
+    def last_transition(self, signals: DataFrame, tr: DataFrame, name: str) -> DataFrame:
+        """t of the last record of any leaf; -1 without one."""
+        own = signals.filter(F.col("path").isin(self.leaves(name))).select("signal_id").distinct()
+        return tr.join(own, "signal_id").agg(F.coalesce(F.max("t"), F.lit(-1)).alias("t"))
+
     def log(self, signals: DataFrame, tr: DataFrame, name: str, start: int, end: int, ticks: int | None = None) -> DataFrame:
         """The derived signal's transitions in [start, end], as of a recorded one."""
         return derive(signals, tr, self.inline(self.get(name).tree), self.widths, name, start, end, ticks)

@@ -22,11 +22,28 @@ class VcdError(ValueError):
     pass
 
 
+def _open(path: str):
+    """A local path, or a URI of any store that Arrow reads."""
+    if "://" not in path:
+        return open(path, "rb")
+    import io
+
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    return io.BufferedReader(store.open_input_file(at), 1 << 20)
+
+
+def _size(path: str) -> int:
+    with _open(path) as f:
+        return f.seek(0, os.SEEK_END)
+
+
 def header(path: str) -> tuple[list[tuple], str, int]:
     """Signals (path, name, width, type, signal_id), timescale, and the offset at which values begin."""
     scope: list[str] = []
     signals, timescale = [], ""
-    with open(path, "rb") as f:
+    with _open(path) as f:
         words = _words(f)
         for word, _ in words:
             if word == "$enddefinitions":
@@ -50,7 +67,7 @@ def header(path: str) -> tuple[list[tuple], str, int]:
                         raise VcdError(f"bad $var: {' '.join(body)}")
                     full = ".".join([*scope, body[3]]).removeprefix("TOP.")
                     signals.append((full, full.rpartition(".")[2], int(body[1]), body[0], body[2]))
-    return signals, timescale, os.path.getsize(path)
+    return signals, timescale, _size(path)
 
 
 def _words(f) -> Iterator[tuple[str, int]]:
@@ -64,7 +81,7 @@ def _words(f) -> Iterator[tuple[str, int]]:
 def records(path: str, known: frozenset[str], begin: int, end: int, first: bool) -> Iterator[tuple]:
     """(signal_id, t, seq, v) of the time marks that start in [begin, end), and what follows each."""
     t, on = 0, first
-    with open(path, "rb") as f:
+    with _open(path) as f:
         at = begin
         if not first and begin:
             f.seek(begin - 1)
@@ -114,7 +131,7 @@ class _Reader(DataSourceReader):
             yield f
 
     def partitions(self):
-        size = os.path.getsize(self.path)
+        size = _size(self.path)
         if self.table == "signals":
             return [_Range(self.path, 0, 0, True)]
         cuts = list(range(self.start, max(size, self.start + 1), self.split))

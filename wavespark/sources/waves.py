@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wavespark.operators.temporal import mark_glitches
 from wavespark.sources.vcd import VcdSource, header
@@ -21,9 +23,28 @@ class Wave:
     timescale: str = ""
     path: str = ""
 
-    def widths(self) -> dict[str, int]:
-        """Of all signals by path; for planning expressions, so of a design's declared names."""
-        return {r["path"]: r["width"] for r in self.signals.select("path", "width").collect()}
+    def widths(self) -> Mapping[str, int]:
+        """Of signals by path, looked up as they are asked for."""
+        return _Widths(self.signals)
+
+
+class _Widths(Mapping):
+    def __init__(self, signals: DataFrame):
+        self.signals, self.known = signals, {}
+
+    def __getitem__(self, path: str) -> int:
+        if path not in self.known:
+            row = self.signals.filter(F.col("path") == path).select("width").first()
+            self.known[path] = row["width"] if row else None
+        if self.known[path] is None:
+            raise KeyError(path)
+        return self.known[path]
+
+    def __iter__(self):
+        return iter(self.known)
+
+    def __len__(self) -> int:
+        return len(self.known)
 
 
 def load_wave(spark: SparkSession, path: str) -> Wave:
