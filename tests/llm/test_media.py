@@ -1,5 +1,4 @@
 import hashlib
-import io
 import zlib
 
 import numpy as np
@@ -7,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wavespark.llm import media
+from wavespark.llm import media, storage
 
 
 @settings(max_examples=50, deadline=None)
@@ -56,10 +55,12 @@ def test_bmp_kinds():
     assert (media.decode(bytes(top_down)) == flipped[::-1]).all()
 
 
-def test_query_columns(awkward, nothing):
-    rows = media.features(media.store(awkward)).collect()
+def test_query_columns(awkward, nothing, monkeypatch):
+    monkeypatch.setattr(media, "STACK", 2)
+    folder = storage.shared_dir(awkward.sparkSession, "tiles")
+    rows = media.features(media.store(awkward), folder).collect()
     texts = {r["doc_id"]: r["text"] for r in awkward.collect() if r["doc_id"] is not None}
-    assert len(rows) == awkward.count()
+    assert len(rows) == awkward.count() == len({(r["tile_file"], r["tile_row"]) for r in rows})
     for r in rows:
         if r["doc_id"] is None:
             continue
@@ -67,7 +68,9 @@ def test_query_columns(awkward, nothing):
         assert (r["n_bytes"], r["payload_bytes"]) == (len((texts[r["doc_id"]] or "").encode()), len(data))
         assert r["payload_sha256"] == hashlib.sha256(data).hexdigest() and r["tail_crc32"] == zlib.crc32(data[-16:])
         assert r["media_bytes"] > r["payload_bytes"] and len(r["feature"]) == 16
-        assert np.load(io.BytesIO(r["tile_npy"])).shape == (8, 9)
-    assert media.features(media.store(nothing)).count() == 0
+        small = storage.map_array(f"{folder}/{r['tile_file']}")[r["tile_row"]]
+        image = media.decode(media.encode_ppm(data)).mean(axis=2, keepdims=True)
+        assert small.shape == (8, 9) and (len(data) > 40_000 or np.allclose(small, plain_resize(image, 8, 9)[:, :, 0], atol=1e-3))
+    assert media.features(media.store(nothing), folder).count() == 0
     broken = awkward.sparkSession.createDataFrame([(1, 2, b"junk"), (2, None, None)], "doc_id long, n_bytes long, media binary")
-    assert {r["doc_id"]: r["feature"] for r in media.features(broken).collect()} == {1: None, 2: None}
+    assert {r["doc_id"]: (r["feature"], r["tile_file"]) for r in media.features(broken, folder).collect()} == {1: (None, None), 2: (None, None)}

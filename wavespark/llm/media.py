@@ -13,19 +13,24 @@ get equal values and extra columns don't matter. An empty table gives an empty t
 from __future__ import annotations
 
 import hashlib
-import io
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from wavespark.llm import storage
+
 #: bytes in a row of a stored image: 64 pixels of 3 samples
 ROW = 192
 TILE = (8, 9)
+#: tiles in a NPY file at most
+STACK = 1 << 16
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -131,21 +136,14 @@ def grey(image: np.ndarray) -> np.ndarray:
     return image.mean(axis=2)
 
 
-def npy(a: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.save(out, a)
-    return out.getvalue()
-
-
 def difference_hash(tile: np.ndarray) -> str:
     """16 hex digits: is each cell of an 8 x 9 tile darker than its right neighbour."""
     return np.packbits(tile[:, :-1] < tile[:, 1:]).tobytes().hex()
 
 
-def tile(media: bytes) -> tuple[bytes, str]:
-    """NPY bytes of the small grey tile, and its difference hash."""
-    small = np.round(area_resize(grey(decode(media)), *TILE), 6)
-    return npy(small.astype(np.float32)), difference_hash(small)
+def tile(samples: np.ndarray) -> np.ndarray:
+    """Small grey image of any image."""
+    return np.round(area_resize(grey(samples), *TILE), 6)
 
 
 def store(docs: DataFrame, encode=encode_ppm) -> DataFrame:
@@ -163,28 +161,51 @@ def store(docs: DataFrame, encode=encode_ppm) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Read every stored image: digests of its samples and of its stored form, difference hash and NPY tile."""
+def features(media: DataFrame, folder: str) -> DataFrame:
+    """Read every stored image: digests of its samples and of its stored form, and its difference hash. Grey tiles go
+    to NPY files in ``folder``, stacked; tile_file and tile_row say where, null for media that can't be read."""
 
     def one(m: bytes | None) -> tuple:
         if m is None:
             return (None,) * 7
         digest = hashlib.sha256(m).hexdigest()
         try:
-            data = decode(m).astype(np.uint8, copy=False).tobytes()
-            small, mark = tile(m)
+            samples = decode(m)
         except ValueError:
             return (None, None, None, len(m), digest, None, None)
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), digest, mark, small
+        data = samples.astype(np.uint8, copy=False).tobytes()
+        small = tile(samples)
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), digest, difference_hash(small), small
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_npy"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_file", "tile_row"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles: list[np.ndarray] = []
+        own = f"tiles-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        count = 0
+
+        def flush() -> None:
+            nonlocal count
+            if tiles:
+                storage.write_array(f"{folder}/{own}-{count}.npy", np.stack(tiles).astype(np.float32))
+                count += 1
+                tiles.clear()
+
         for b in batches:
-            found = [one(m.as_py()) for m in b.column(2)]
-            columns = [pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)]
+            rows = []
+            for m in b.column(2):
+                *found, small = one(m.as_py())
+                if small is None:
+                    rows.append((*found, None, None))
+                    continue
+                rows.append((*found, f"{own}-{count}.npy", len(tiles)))
+                tiles.append(small)
+                if len(tiles) >= STACK:
+                    flush()
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "n_bytes", *names])
+        flush()
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_npy binary")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_file string, tile_row int")

@@ -12,10 +12,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored images are a table of the shared folder, with zstd; features come from what is read back."""
+    """The stored images are a table of the shared folder, with zstd; features and tiles come from what is read back."""
     at = storage.shared_dir(spark, "media")
     media.store(_read(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(at)
-    return media.features(spark.read.parquet(at)).drop("tile_npy")
+    return media.features(spark.read.parquet(at), f"{at}-tiles")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,9 +54,10 @@ def read_bytes(uri: str) -> bytes:
 def write_array(uri: str, a: np.ndarray) -> None:
     import io
 
+    a = np.ascontiguousarray(a)
     head = io.BytesIO()
     np.lib.format.write_array_header_1_0(head, np.lib.format.header_data_from_array_1_0(a))
-    write_bytes(uri, head.getvalue(), np.ascontiguousarray(a).data.cast("B") if a.size else b"")
+    write_bytes(uri, head.getvalue(), a.data.cast("B") if a.size else b"")
 
 
 def map_array(uri: str) -> np.ndarray:
