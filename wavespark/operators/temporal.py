@@ -190,7 +190,9 @@ def pattern(tr: DataFrame, ticks: int | None = None) -> DataFrame:
 def changes(signals: DataFrame, tr: DataFrame, start: int, end: int, radix: str = "hex", ticks: int | None = None) -> DataFrame:
     """Dump of transitions: t, path, edge, before, after, glitch in [start, end], without records that change nothing.
     Sort by (t, path, seq) to read it."""
-    rows = edges(with_width(mark_glitches(seeded(tr.filter(F.col("t") <= end), start)) if "glitch" not in tr.columns else seeded(tr.filter(F.col("t") <= end), start), signals), ticks)
+    rows = seeded(tr.filter(F.col("t") <= end), start)
+    rows = rows if "glitch" in rows.columns else mark_glitches(rows)
+    rows = edges(with_width(rows, signals), ticks)
     rows = rows.filter((F.col("t") >= start) & F.col("edge").isNotNull())
     before = F.when((F.col("pv") == UNSET) & (F.col("width") > 1), F.lit("x")).otherwise(values.display(F.col("pv"), F.col("width"), radix))
     return rows.join(signals.select("signal_id", "path"), "signal_id").select("t", "path", "seq", F.when(F.col("edge") == "toggle", F.lit("anyedge")).otherwise(F.col("edge")).alias("edge"), before.alias("before"), values.display(F.col("v"), F.col("width"), radix).alias("after"), "glitch")
