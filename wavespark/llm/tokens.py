@@ -33,7 +33,7 @@ MAGIC = b"WSIDS001"
 BLOCK = 1 << 16
 END = 0
 #: pieces of text that a worker remembers, twice over
-CACHE = 400_000
+CACHE = 700_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -56,17 +56,35 @@ def unpack(data: bytes, bits: int, n: int, first: int = 0) -> np.ndarray:
     return ((words >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+class _Pieces(dict):
+    """Ids of pieces of text; the pieces of two generations of CACHE are kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.pop(piece, None)
+        if found is None:
+            found = self.encode(piece)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    A byte-level BPE without normaliser splits texts before it merges, and the split never joins what stands on
-    both sides of a single white space. Such texts are cut there, and the ids of each piece are remembered. Texts
-    with two white spaces in a row, rare white space or a special token's string, and all texts of tokenizers of
-    other kinds, are encoded whole.
+    A byte-level BPE without normaliser splits a text before it merges: runs of white space but for their last
+    character, and words with the blank before them. Cut at the same places, a text's pieces give the ids that the
+    whole text gives, and the ids of each piece are remembered. Texts with a special token's string, and all texts of
+    tokenizers of other kinds, are encoded whole.
     """
 
-    _WHOLE = re.compile(r"\s\s|[^\S \n\t\r]")
-    _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?=\s|\Z)| ?\S+|\s")
+    _SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed values: white space of Unicode
+    _PIECE = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?]*(?:[{_SPACE}]|\Z))|[.,;:!?]+(?=[{_SPACE}]|\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 
     def __init__(self, path: str):
         import json
@@ -83,8 +101,7 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.shown = {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}  # byte-level alphabet
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pieces = _Pieces(self._piece)
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -93,26 +110,18 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.old.pop(piece, None)
-        if found is None:
-            word = piece[1:] if piece[0] == " " else piece
-            if word.isalpha():  # one piece to the tokenizer, too
-                found = np.array([t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))], "<u4").tobytes()
-            else:
-                found = self.whole(piece)
-        if len(self.new) >= CACHE:
-            self.old, self.new = self.new, {}
-        self.new[piece] = found
-        return found
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha():  # one piece to the tokenizer, too
+            return np.array([t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))], "<u4").tobytes()
+        return self.whole(piece)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian uint32."""
         if not text:
             return b""
-        if not self.splits or self._WHOLE.search(text) or any(x in text for x in self.special):
+        if not self.splits or any(x in text for x in self.special):
             return self.whole(text)
-        pieces = self._PIECE.findall(text)
-        return b"".join([self.new.get(x) or self._piece(x) for x in pieces])
+        return b"".join(map(self.pieces.__getitem__, self._PIECE.findall(text)))
 
 
 _encoders: dict[str, Encoder] = {}
