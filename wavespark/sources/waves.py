@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavespark import ship
 from wavespark.operators.temporal import mark_glitches
 from wavespark.sources.vcd import VcdSource, header
 
@@ -55,6 +56,7 @@ def load_wave(spark: SparkSession, path: str) -> Wave:
     if kind == ".parquet":
         meta = spark.read.json(f"{path}/meta").first()
         return Wave(spark.read.parquet(f"{path}/signals"), spark.read.parquet(f"{path}/transitions"), meta["timescale"], path)
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else a reader may not offer it
     spark.dataSource.register(VcdSource)
     read = lambda table: spark.read.format("vcd").option("path", path).option("table", table).load()
