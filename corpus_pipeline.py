@@ -8,26 +8,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wavespark import ship
 from wavespark.llm import mixing, near, packing, quality, storage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and that the label model takes for good."""
+    ship(spark)
     return quality.keep_good(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that with the least doc_id."""
+    ship(spark)
     return near.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reaches them: not at all, once, or up to three times."""
+    ship(spark)
     return mixing.repeat(docs)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in a packed sequence."""
+    ship(spark)
     return packing.best_fit(docs)
 
 

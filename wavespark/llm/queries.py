@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
+from wavespark import ship
 from wavespark.llm import html, licenses, lm, media, mixing, near, packing, quality, storage, tokens, warc
 
 
@@ -71,8 +74,17 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN r = page_id THEN 'respo
 """
 
 
+def _shipped(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str, *a, **b) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir, *a, **b)
+
+    return run
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
+    return {k: _shipped(f) for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
