@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from wavespark.llm import lm, words
+from wavespark.llm import lm, queries, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -73,6 +73,17 @@ def test_same_as_plain_model(spark, data, order):
         assert math.isclose(sum(model.p(h, x) for x in model.words) + model.p(h, "unknown!"), 1, rel_tol=1e-9)
 
 
+def test_query_scores_trigrams(spark, data, tmp_path):
+    """The registered query, against a plain model of order 3."""
+    spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 40").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: tokens(r["text"]) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    model = Plain([w for d, w in rows.items() if not held_out(d)], 3)
+    found = queries.op3_lm_scoring(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert math.isclose(r["score"], model.score(rows[r["doc_id"]]), rel_tol=1e-7)
+
+
 def test_better_than_unigrams_on_held_out_text(spark):
     rng = np.random.default_rng(0)
     follow = {w: rng.integers(0, 50, 3) for w in range(50)}

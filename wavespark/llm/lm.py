@@ -37,7 +37,9 @@ from wavespark.llm.words import Chunk, chunks, mix, pair
 
 _U = np.uint64
 END_HASH = _U(0x656E64206F662074)  # the end token's place in the vocabulary
-BEGIN, UNKNOWN = _U(1 << 63), _U((1 << 63) + 1)
+#: beyond all ids; arbitrary bits, as ``pair`` is linear before it mixes (1 << 63 twice would cancel out: two unknown words
+#: would be the context of word 1 twice)
+BEGIN, UNKNOWN = _U(0xB5297A4D3F84E1C7), _U(0xC2B2AE3D27D4EB4F)
 #: distinct entries that a counting task holds before it sends them on
 HELD = 1_500_000
 HELD_OUT = (7, 2)

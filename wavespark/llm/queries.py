@@ -25,7 +25,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(storage.table(quality.measures(_read(spark, sf_dir, "documents")), "measures"))
 
 
-def op3_lm_scoring(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+def op3_lm_scoring(spark: SparkSession, sf_dir: str, order: int = 3) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return lm.score(docs, lm.train(docs.filter(~lm.held_out()), order))
 
