@@ -30,6 +30,16 @@ def test_several_in_a_text():
     assert all(text[r[0] :].lower().startswith(("released", "licensed")) for r in found)
 
 
+def test_anywhere_in_a_line():
+    """A notice lies behind, or begins before, the word that gives it away, however long its line is."""
+    for before in (0, 150, 300, 5000):
+        text = "word " * before + "Released under the MIT License." + " word" * 3000 + " a license to kill," + " word" * 250 + " " + licenses.TEMPLATES["GPL-3.0"].replace("\n", " ") + " word" * 300
+        found = list(licenses.scan(text))
+        assert [(r[0], r[1]) for r in found] == [(5 * before, "MIT notice"), (text.index("This program"), "GPL-3.0")]
+    dense = "copyright law " * 1000 + "Licensed under CC BY-NC 4.0."
+    assert [(r[0], r[1]) for r in licenses.scan(dense)] == [(14_000, "CC-BY-NC-4.0 notice")]
+
+
 def test_alignment_is_least():
     """Against all spans of the block and a plain edit distance."""
 

@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-A candidate block begins at a line with a word that licences use and is as long as the longest template. It is
-compressed alone and with each template as raw zstandard dictionary: what a template saves tells how much of the
+A candidate block surrounds a word that licences use: by the length of the longest template before it, and by twice
+that after it, so that it settles all notices that begin up to a template's length behind the word. It is compressed alone and with each template as raw zstandard dictionary: what a template saves tells how much of the
 block it explains. Templates are ranked by bytes saved, and the best whose wording really is there wins: an
 alignment of words lists what is missing, added or changed. A tenth of a template's words may differ, but not those
 with digits (versions), nor may its key words be missing.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -81,12 +82,17 @@ def words(text: str) -> list[str]:
     return [m[0].lower() for m in _WORD.finditer(text)]
 
 
+def _needed(word: str) -> bool:
+    return word in _KEY or any(c.isdigit() for c in word)
+
+
 class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words(text)
         own = " ".join(self.words).encode()
         found = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.packer = zstandard.ZstdCompressor(level=9, dict_data=found)
+        self.needs = {w for w in self.words if _needed(w)}
         self.most = len(_alone().compress(own)) - len(self.packer.compress(own))  # what it saves on itself
 
     def saves(self, block: bytes, alone: int) -> int:
@@ -144,39 +150,64 @@ def align(template: list[str], block: list[str]) -> tuple[int, int, list[str]]:
 
 
 def confirmed(template: list[str], differences: list[str]) -> bool:
-    wrong = [x for x in differences if x[0] == "-" and (x[1:] in _KEY or any(c.isdigit() for c in x[1:]))]
+    wrong = [x for x in differences if x[0] == "-" and _needed(x[1:])]
     return not wrong and len(differences) <= DIFFERENT * len(template)
 
 
+def _best(own: list[str]) -> tuple[int, int, list[str], Template, int] | None:
+    """First and end word, differences, template and bytes saved of the confirmed notice that saves most."""
+    block = " ".join(own).encode()
+    if not _TRIGGER.search(block.decode()):
+        return None
+    alone, there = len(_alone().compress(block)), set(own)
+    for saved, _, t in sorted(((t.saves(block, alone), k, t) for k, t in enumerate(templates())), key=lambda x: (-x[0], x[1])):
+        # what a short notice saves can drown in a long block; then its key words tell
+        if saved >= 0.3 * t.most or t.needs and t.needs <= there:
+            a, b, differences = align(t.words, own)
+            if a < b and confirmed(t.words, differences):
+                return a, b, differences, t, saved
+    return None
+
+
+def _notices(own: list[str], last: int) -> Iterator[tuple[int, int, list[str], Template, int]]:
+    """Notices of the block that begin at word ``last`` or before."""
+    while best := _best(own):
+        if best[0] <= last:
+            yield best
+            return
+        own = own[: best[0]]
+
+
 def scan(text: str) -> Iterator[tuple[int, str, int, float, list[str]]]:
     """(offset, licence, bytes saved, share of the template's own saving, differences) of each notice."""
-    longest = max(len(t.words) for t in templates())
-    done = 0
-    hit = _TRIGGER.search(text)
-    while hit:
-        start = max(text.rfind("\n", 0, hit.start()) + 1, done)
-        found = []
-        for m in _WORD.finditer(text, start):
-            found.append(m)
-            if len(found) >= longest * 1.2 + 10:
-                break
-        own = [m[0].lower() for m in found]
-        block = " ".join(own).encode()
-        alone = len(_alone().compress(block))
-        ranked = sorted(((t.saves(block, alone), k, t) for k, t in enumerate(templates())), key=lambda x: (-x[0], x[1]))
-        after = text.find("\n", hit.end())
-        after = len(text) if after < 0 else after
-        for saved, _, t in ranked:
-            if saved < 0.3 * t.most:
-                continue
-            a, b, differences = align(t.words, own)
-            # the notice begins in the line of the word that was found
-            if a < b and found[a].start() <= after and confirmed(t.words, differences):
-                yield found[a].start(), t.name, saved, round(saved / t.most, 4), differences
-                after = found[b - 1].end()
-                break
-        done = max(done, after)
-        hit = _TRIGGER.search(text, after)
+    reach = int(max(len(t.words) for t in templates()) * 1.2 + 10)
+    more = _WORD.finditer(text)
+    starts, ends, own = [], [], []  # the words read, without those far behind
+
+    def read(enough) -> None:
+        while not enough() and (m := next(more, None)):
+            starts.append(m.start())
+            ends.append(m.end())
+            own.append(m[0].lower())
+            if len(own) > 8 * reach:
+                for x in (starts, ends, own):
+                    del x[: -4 * reach]
+
+    done = settled = 0
+    for hit in _TRIGGER.finditer(text):
+        if hit.start() < settled:
+            continue
+        read(lambda at=hit.start(): ends and ends[-1] > at)
+        for x in (starts, ends, own) if (far := bisect_right(ends, hit.start()) - reach) > 0 else ():
+            del x[:far]
+        k = bisect_right(ends, hit.start())
+        read(lambda k=k: len(own) >= k + 2 * reach)
+        low, last = bisect_left(starts, done), k + reach
+        settled = ends[last] if last < len(ends) else len(text)
+        for a, b, differences, t, saved in _notices(own[low : k + 2 * reach], last - low):
+            yield starts[low + a], t.name, saved, round(saved / t.most, 4), differences
+            done = ends[low + b - 1]
+            settled = done
 
 
 def find(docs: DataFrame) -> DataFrame:
