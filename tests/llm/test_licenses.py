@@ -40,6 +40,14 @@ def test_anywhere_in_a_line():
     assert [(r[0], r[1]) for r in licenses.scan(dense)] == [(14_000, "CC-BY-NC-4.0 notice")]
 
 
+@pytest.mark.parametrize("names", [("MIT notice", "Apache-2.0 notice"), ("CC0-1.0 notice", "GPL-3.0", "MIT SPDX", "Apache-2.0", "MIT notice", "BSD-2-Clause", "CC-BY-4.0 notice")])
+def test_several_in_a_line(names):
+    for order in (names, names[::-1]):
+        text = "Prose before. " + " ".join(licenses.TEMPLATES[k].replace("\n", " ") for k in order) + " And after."
+        found = list(licenses.scan(text))
+        assert [r[1] for r in found] == list(order) and [r[0] for r in found] == sorted(r[0] for r in found)
+
+
 def test_alignment_is_least():
     """Against all spans of the block and a plain edit distance."""
 

@@ -7,7 +7,7 @@ alignment of words lists what is missing, added or changed. A tenth of a templat
 with digits (versions), nor may its key words be missing.
 
 Defined results: texts that are null, empty or without licence words have no rows. A text with several notices has
-a row for each; the search goes on after the end of a confirmed notice. Repeated rows are scanned one by one. Extra
+a row for each: what lies before and after a confirmed notice is searched on. Repeated rows are scanned one by one. Extra
 columns are ignored. An empty table gives an empty table. Texts of any length are scanned whole.
 """
 
@@ -170,12 +170,15 @@ def _best(own: list[str]) -> tuple[int, int, list[str], Template, int] | None:
 
 
 def _notices(own: list[str], last: int) -> Iterator[tuple[int, int, list[str], Template, int]]:
-    """Notices of the block that begin at word ``last`` or before."""
-    while best := _best(own):
-        if best[0] <= last:
+    """Notices of the block that begin at word ``last`` or before, in order: the one that saves most, and those on
+    either side of it."""
+    if best := _best(own):
+        a, b, *rest = best
+        yield from _notices(own[:a], last)
+        if a <= last:
             yield best
-            return
-        own = own[: best[0]]
+        for c, d, *more in _notices(own[b:], last - b):
+            yield c + b, d + b, *more
 
 
 def scan(text: str) -> Iterator[tuple[int, str, int, float, list[str]]]:
@@ -207,7 +210,7 @@ def scan(text: str) -> Iterator[tuple[int, str, int, float, list[str]]]:
         for a, b, differences, t, saved in _notices(own[low : k + 2 * reach], last - low):
             yield starts[low + a], t.name, saved, round(saved / t.most, 4), differences
             done = ends[low + b - 1]
-            settled = done
+        settled = max(settled, done)
 
 
 def find(docs: DataFrame) -> DataFrame:
