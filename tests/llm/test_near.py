@@ -138,6 +138,14 @@ def test_awkward(awkward, nothing):
     assert near.join(nothing).count() == 0 and near.one_of_each(nothing).count() == 0
 
 
+def test_dissimilar_texts_of_one_id(spark):
+    """One row of each class stays, also where classes have no doc_id or the same."""
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(40))
+    rows = [(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (None, text("e")), (None, text("e") + " tail"), (None, text("f")), (2, text("f") + " tail"), (None, text("a"))]
+    stay = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in stay) == [(0, "a"), (0, "b"), (0, "e"), (1, "c"), (1, "d"), (2, "f")]
+
+
 def test_shingles_of_short_texts():
     (c,) = words.chunks(pa.array(["a b c", "a b c", "a b", "c a b", "", "a b c d e", "a b c d e a b c d e"]))
     row, w = near.shingles(c)

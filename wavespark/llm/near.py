@@ -328,7 +328,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, vid) of every row; and of every variant: vid, doc_id (its least), copies, class_id and n_links."""
+    """(doc_id, vid) of every row; and of every variant: vid, doc_id (its least), copies, class_id, root (the
+    least vid of its class, which tells classes apart also where a doc_id is null or repeated) and n_links."""
     found = storage.table(signatures(docs, *choose_bands(threshold, recall)), "signatures")
     variants = storage.table(found.filter("vid is not null").groupBy("vid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "variants")
     keyed = variants.select("vid", F.explode("bands").alias("key"))
@@ -350,8 +351,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
     narrow = variants.select("vid", "doc_id", "copies")
     ids = roots.join(narrow, "vid").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classed = roots.join(ids, "root").select("vid", "class_id")
-    out = narrow.join(classed, "vid", "left").withColumn("class_id", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
+    classed = roots.join(ids, "root").select("vid", "class_id", "root")
+    out = narrow.join(classed, "vid", "left").withColumn("class_id", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))).withColumn("root", F.coalesce("root", "vid"))
     if count_links:
         away = checked.select(F.col("star").alias("root"), "vid", "d")
         group = roots.join(narrow, "vid").join(away, ["root", "vid"], "left")
@@ -362,7 +363,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """A row for each row of ``docs``: doc_id, class_id (the least doc_id of its class) and n_links, the number of
-    other rows that are similar to it."""
+    other rows that are similar to it. Classes with the same least doc_id, null for one, share their class_id."""
     rows, variants = classes(docs, threshold, recall)
     some = rows.join(variants.select("vid", "class_id", "n_links"), "vid").select("doc_id", "class_id", "n_links")
     none = rows.filter("vid is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
@@ -372,7 +373,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` that stay if one row of each class does, that with the least doc_id; all columns."""
     _, variants = classes(docs, threshold, recall, count_links=False)
-    stay = variants.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("vid").alias("__vid"), F.col("doc_id").alias("__doc"), F.col("class_id").alias("__class"))
+    stay = variants.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("vid").alias("__vid"), F.col("doc_id").alias("__doc"), F.col("root").alias("__class"))
     rows = _with_vid(docs, docs.columns)
     first = rows.join(stay, "__vid").filter(F.col("doc_id").eqNullSafe(F.col("__doc"))).dropDuplicates(["__class"])
     return first.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rows.filter("__vid is null").drop("__vid"))
