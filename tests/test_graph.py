@@ -42,6 +42,22 @@ def trace(design, signal, **options):
     return graph.trace(design, signal, graph.TraceOptions(**options))
 
 
+def test_signals_beyond_a_wide_cone(spark, design):
+    """Operands that the walk doesn't follow don't use up max_nodes: a chain of ports behind them is walked to its end."""
+    names = ["r", *(f"a{k}" for k in range(30)), "x", "y", "z"]
+    ids = {s: k for k, s in enumerate(names)}
+    ends = [("r", "expr", "r", names[1:31]), ("r", "port", "x", []), ("x", "port", "y", []), ("y", "port", "z", []), ("z", "expr", "z", ["a0"])]
+    tables = {
+        "signals": [(ids[s], s, None, None, None) for s in names],
+        "endpoints": [(k, ids[s], "driver", kind, path, "f.sv", k, "", "", False, "") for k, (s, kind, path, _) in enumerate(ends)],
+        "refs": [(k, "rhs", j, p) for k, e in enumerate(ends) for j, p in enumerate(e[3])],
+    }
+    own = design | {k: spark.createDataFrame(v, GRAPH[k]) for k, v in tables.items()}
+    found = trace(own, "r", max_nodes=5)
+    assert found.visited == 4 and [e["path"] for e in found.endpoints] == ["r", "z"]
+    assert "node_limit" in {s[1] for s in trace(own, "r", max_nodes=3).stops}
+
+
 def test_drivers_through_ports(design):
     found = trace(design, "top.u_cons.in_bus")
     assert [(e["path"], e["assignment"]) for e in found.endpoints] == [("top.u_prod.data", "data <= 8'h00"), ("top.u_prod.data", "data <= data + 8'h01")]

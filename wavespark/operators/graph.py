@@ -1,8 +1,8 @@
 """Queries on the connectivity graph: tables as in ``model.GRAPH``.
 
-Graph tables come as a dict by name. Walks run breadth first as joins, one level at a time; ``trace`` then replays the
-depth-first order, on which some stops depend, over the neighbourhood that the walk has found. That is bounded by
-``max_nodes`` signals, and the walk reports it if the neighbourhood is larger.
+Graph tables come as a dict by name. Walks run breadth first as joins, one level at a time. ``trace`` replays the
+depth-first order, on which some stops depend, over the signals fetched so far, fetches those that it entered and didn't
+know, and so on until it knows all. ``max_nodes`` bounds the signals visited, and the walk reports it if it gets there.
 """
 
 from __future__ import annotations
@@ -182,26 +182,19 @@ class TraceOptions:
     port_hop: bool = False
 
 
-def _neighbourhood(graph: dict[str, DataFrame], root: str, o: TraceOptions) -> tuple[dict, dict, dict]:
-    """Edge rows by signal path, and bridge signals by endpoint path, of all that the walk may reach."""
+def _fetch(graph: dict[str, DataFrame], sigs: set[str], root: str, o: TraceOptions) -> tuple[dict, dict, set]:
+    """Edge rows of the given signals, bridge signals by endpoint path, and which of the names in these are signals."""
     role, other = ("driver", "load") if o.mode == "drivers" else ("load", "driver")
+    spark = graph["signals"].sparkSession
     names = graph["signals"].select("sig_id", F.col("path").alias("sig"))
-    ends = graph["endpoints"].filter(F.col("role") == role).join(names, "sig_id")
-    refs = graph["refs"].filter(F.col("side") == ("rhs" if o.mode == "drivers" else "lhs")).select("ep_id", F.col("path").alias("dst"))
-    opposite = graph["endpoints"].filter(F.col("role") == other).join(names, "sig_id").select("path", F.col("sig").alias("dst")).distinct()
-    step = ends.join(refs, "ep_id").select(F.col("sig").alias("src"), "dst")
-    known = names.select(F.col("sig").alias("path"), F.col("sig").alias("dst"))
-    hop = ends.select("sig", "path").distinct()
-    step = step.unionByName(hop.join(known, "path").select(F.col("sig").alias("src"), "dst")).unionByName(hop.join(opposite, "path").select(F.col("sig").alias("src"), "dst"))
-    near = cone(step.distinct(), graph["signals"].sparkSession.createDataFrame([(root,)], "node string"), o.depth).orderBy("depth", "node").limit(o.max_nodes + 1)
-    wanted = near.select(F.col("node").alias("sig"))
-    own = ends.join(wanted, "sig").orderBy("ep_id")
+    wanted = names.join(F.broadcast(spark.createDataFrame([(x,) for x in sorted(sigs)], "sig string")), "sig")
+    own = settle(graph["endpoints"].filter(F.col("role") == role).join(F.broadcast(wanted), "sig_id"))
     lists = graph["refs"].join(own.select("ep_id"), "ep_id").orderBy("ep_id", "side", "pos")
-    rows: dict[str, list[dict]] = {}
+    rows: dict[str, list[dict]] = {x: [] for x in sigs}
     by_id: dict[int, dict] = {}
-    for r in own.collect():
+    for r in own.orderBy("ep_id").collect():
         e = r.asDict() | {"lhs": [], "rhs": []}
-        rows.setdefault(e["sig"], []).append(e)
+        rows[e["sig"]].append(e)
         by_id[e["ep_id"]] = e
     for r in lists.collect():
         by_id[r["ep_id"]][r["side"]].append(r["path"])
@@ -210,8 +203,8 @@ def _neighbourhood(graph: dict[str, DataFrame], root: str, o: TraceOptions) -> t
     for r in hops.collect():
         bridge.setdefault(r["path"], []).append(r["sig"])
     asked = {x for e in by_id.values() for x in (e["path"], *e["lhs"], *e["rhs"])} | {root}
-    there = {r["sig"] for r in names.join(names.sparkSession.createDataFrame([(x,) for x in sorted(asked)], "sig string"), "sig").collect()}
-    return rows, bridge, there
+    there = {r["sig"] for r in names.join(spark.createDataFrame([(x,) for x in sorted(asked)], "sig string"), "sig").collect()}
+    return rows, bridge, there.union(*bridge.values())
 
 
 def trace(graph: dict[str, DataFrame], signal: str, options: TraceOptions | None = None) -> Trace:
@@ -219,14 +212,30 @@ def trace(graph: dict[str, DataFrame], signal: str, options: TraceOptions | None
     expression's operands while the cone level allows; logic endpoints are given, or else ports that lead nowhere."""
     o = options or TraceOptions()
     root, bits = paths.split_select(signal)
-    out = Trace(root)
     if fast := _global(graph, root, o.mode):
-        out.endpoints, out.visited = fast, 1
-        return out
-    rows, bridge, there = _neighbourhood(graph, root, o)
+        return Trace(root, fast, visited=1)
+    rows, bridge, there = _fetch(graph, {root}, root, o)
     if bits and root not in there:
-        root, bits, out.target = signal, None, signal
-        rows, bridge, there = _neighbourhood(graph, root, o)
+        root, bits = signal, None
+        rows, bridge, there = _fetch(graph, {root}, root, o)
+    if root in there and not rows[root] and o.mode == "drivers":
+        rows[root] = _fallback(graph, root)
+        asked = {x for e in rows[root] for x in (e["path"], *e["rhs"])}
+        there |= {r["path"] for r in graph["signals"].filter(F.col("path").isin(sorted(asked))).select("path").collect()}
+    while True:
+        out, unknown = _replay(root, bits, o, rows, bridge, there)
+        if not unknown:
+            return out
+        more = _fetch(graph, unknown, root, o)
+        rows |= more[0]
+        bridge |= more[1]
+        there |= more[2]
+
+
+def _replay(root: str, bits: tuple[int, int] | None, o: TraceOptions, rows: dict, bridge: dict, there: set) -> tuple[Trace, set[str]]:
+    """The depth-first walk over the signals fetched so far, and the signals visited whose rows aren't."""
+    out = Trace(root)
+    unknown: set[str] = set()
     include, exclude, stop_at = (re.compile(x) if x else None for x in (o.include, o.exclude, o.stop_at))
     allowed = lambda p: not (include and not include.search(p)) and not (exclude and exclude.search(p))
     logic, ports = {}, {}
@@ -245,7 +254,7 @@ def trace(graph: dict[str, DataFrame], signal: str, options: TraceOptions | None
     def enter(sig: str, depth: int, level: int) -> list | None:
         """Edges to follow, or None where the walk ends."""
         nonlocal full
-        if sig not in there and sig not in rows:
+        if sig not in there and not rows.get(sig):
             return stop(sig, "missing_signal", "not-in-db", depth)
         if depth > o.depth:
             return stop(sig, "depth_limit", "max-depth-reached", depth)
@@ -259,10 +268,9 @@ def trace(graph: dict[str, DataFrame], signal: str, options: TraceOptions | None
         visited.add(sig)
         if stop_at and stop_at.search(sig):
             return stop(sig, "stop_at", "matched-stop-at-regex", depth)
-        found = rows.get(sig, [])
-        if not found and sig == root and o.mode == "drivers":
-            found = _fallback(graph, sig)
-        return found
+        if sig not in rows:
+            unknown.add(sig)
+        return rows.get(sig, [])
 
     def follow(sig: str, e: dict, depth: int, level: int):
         """Signals to visit next, as (name, depth, level); what the endpoint itself gives is noted."""
@@ -312,7 +320,7 @@ def trace(graph: dict[str, DataFrame], signal: str, options: TraceOptions | None
         return -own, e["path"], e["file"] or "", e["line"] or 0, e["direction"] or ""
 
     out.endpoints = sorted((logic or ports).values(), key=order)
-    return out
+    return out, unknown
 
 
 def _overlaps(e: dict, bits: tuple[int, int]) -> bool:
