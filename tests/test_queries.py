@@ -26,6 +26,15 @@ def test_same_as_sql(spark, data, duck, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_trace_drivers_follows_all_lines(spark, tmp_path):
+    """Operands lead from s1 to s3 (three cone levels), a port from s3 to s5; s4 is a level too far."""
+    items = [(1, 4, 1, 10, "N"), (2, 6, 2, 11, "N"), (3, 2, 3, 12, "N"), (4, 4, 4, 15, "N"), (5, 4, 3, 13, "A"), (6, 3, 5, 13, "N"), (7, 6, 5, 14, "N"), (8, 5, 1, 16, "N")]
+    spark.createDataFrame([(*r, 1.0, "O") for r in items], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_returnflag string, l_quantity double, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in range(1, 7)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = queries.QUERIES["trace_drivers"](spark, str(tmp_path))
+    assert sorted(r["path"] for r in found.collect()) == ["p10", "p11", "p12", "p14"]
+
+
 def test_entry_imports_without_llm(monkeypatch):
     import builtins
     import importlib

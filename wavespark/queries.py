@@ -545,7 +545,7 @@ def whereis_params(spark, d):
 def trace_drivers(spark, d):
     """Endpoints that drive one part, over suppliers as signals: a walk with ports, filters and stops."""
     names = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("sig_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"))
-    ends = _ends(spark, d).filter("line <= 2").drop("lo", "hi")
+    ends = _ends(spark, d).drop("lo", "hi")
     refs = ends.select("ep_id", F.lit("rhs").alias("side"), F.lit(0).alias("pos"), F.concat(F.lit("s"), (F.col("sig_id") + 1).cast("string")).alias("path"))
     none = spark.createDataFrame([], "lhs_path string, sig_id long"), spark.createDataFrame([], "source string, category string, sink string")
     found = graph.trace({"signals": names, "endpoints": ends, "refs": refs, "assign_lhs": none[0], "global": none[1]}, "s1", graph.TraceOptions(cone=3))
