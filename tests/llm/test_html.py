@@ -35,6 +35,15 @@ def test_main_text(body, want):
     assert html.main_text(body) == want
 
 
+def test_bare_text_beside_a_list():
+    """Text that stands directly in containers above the densest block, and inline elements there, are kept in order."""
+    items = "".join(f"<li>{LONG[:80]}</li>" for _ in range(5))
+    text = "<br><br>".join(f"{LONG} <b>bold</b> {LONG}" for _ in range(4))
+    bare = " ".join(f"{LONG} bold {LONG}".split())
+    got = html.main_text(page(f"<div id=content>{text}<ul>{items}</ul>{LONG}<em>{LONG}</em></div>")).split("\n")
+    assert got == [" ".join([bare] * 4), *[LONG[:80].strip()] * 5, " ".join(f"{LONG}{LONG}".split())]
+
+
 def test_densities_by_hand():
     root = html.parse("<div><p>abcd <a>ef</a></p><p>gh</p></div>")
     nodes = {n.tag + str(n.c): n for n in html.measure(root)}

@@ -207,8 +207,38 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+#: tag of a pseudo-block: text and inline elements that stand between the blocks of a container
+RUN = "#run"
+
+
+def _group(root: Node) -> None:
+    """Put what stands directly between blocks into pseudo-blocks, so that it has a density like other parts."""
+    holds: set[int] = set()  # nodes with a block below
+    for node in reversed(_walk(root)):
+        inner = [x for x in node.parts if isinstance(x, Node) and not x.drop]
+        if not any(x.tag in BLOCK or id(x) in holds for x in inner):
+            continue
+        holds.add(id(node))
+        parts: list[Node | str] = []
+        run: Node | None = None
+        for x in node.parts:
+            if isinstance(x, Node) and not x.drop and (x.tag in BLOCK or x.tag == RUN or id(x) in holds):
+                run = None
+            elif run or (x.strip() if isinstance(x, str) else not x.drop):
+                if not run:
+                    run = Node(RUN, node, 0)
+                    parts.append(run)
+                run.parts.append(x)
+                if isinstance(x, Node):
+                    x.up = run
+                continue
+            parts.append(x)
+        node.parts = parts
+
+
 def measure(root: Node) -> list[Node]:
     """Densities and density sums of all kept nodes; ``best`` is the greatest sum's node within each subtree."""
+    _group(root)
     nodes = _walk(root)
     for node in reversed(nodes):
         node.c = node.t = node.lc = node.lt = 0
@@ -217,7 +247,7 @@ def measure(root: Node) -> list[Node]:
                 node.c += sum(map(len, x.split()))
             elif not x.drop:
                 node.c += x.c
-                node.t += x.t + 1
+                node.t += x.t + (x.tag != RUN)
                 node.lc += x.lc
                 node.lt += x.lt + (x.tag == "a")
         if node.tag == "a":
@@ -244,7 +274,7 @@ def _inner(node: Node) -> list[Node]:
         x = todo.pop()
         if x.drop:
             continue
-        if x.tag in BLOCK:
+        if x.tag in BLOCK or x.tag == RUN:
             out.append(x)
         else:
             todo += [y for y in reversed(x.parts) if isinstance(y, Node)]
@@ -269,7 +299,9 @@ def content(root: Node) -> list[Node]:
             out.append(node)
         elif id(node) in above:
             todo += [x for x in reversed(node.parts) if isinstance(x, Node) and not x.drop]
-        elif node.c and node.density >= threshold and node.tag in BLOCK:
+        elif node.tag not in BLOCK and node.tag != RUN:
+            todo += [x for x in reversed(node.parts) if isinstance(x, Node) and not x.drop]
+        elif node.c and node.density >= threshold:
             out.append(node if node.best.sum <= node.sum or 2 * node.best.c < node.c else node.best)
     return out
 
