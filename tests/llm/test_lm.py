@@ -73,8 +73,9 @@ def test_same_as_plain_model(spark, data, order):
         assert math.isclose(sum(model.p(h, x) for x in model.words) + model.p(h, "unknown!"), 1, rel_tol=1e-9)
 
 
-def test_query_scores_trigrams(spark, data, tmp_path):
-    """The registered query, against a plain model of order 3."""
+def test_query_scores_trigrams(spark, data, tmp_path, monkeypatch):
+    """The registered query, against a plain model of order 3, with more shards of n-grams than shuffle partitions."""
+    monkeypatch.setattr(lm, "SHARD", 200)
     spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 40").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r["doc_id"]: tokens(r["text"]) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
     model = Plain([w for d, w in rows.items() if not held_out(d)], 3)
@@ -108,6 +109,19 @@ def test_blocks():
     assert sorted(zip(*columns, counts, strict=True)) == sorted(zip(*back, n, strict=True))
 
 
+def test_tables():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        values = rng.geometric(0.01, (len(keys), 4)).astype(np.uint64)
+        values[: len(keys) // 2] = 1
+        table = lm.Table(lm.Table.build(keys, values))
+        there, found = table.find(keys)
+        assert there.all() and (found == values).all()
+        there, found = table.find(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+        assert there.sum() == 0 and not found.any()
+
+
 def test_awkward(awkward, nothing):
     rows = lm.score(awkward, lm.train(awkward.filter(~lm.held_out()))).collect()
     assert len(rows) == awkward.count() and all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)

@@ -5,11 +5,15 @@ anything, and blocks are compressed byte plane by byte plane.
 
 * The vocabulary is the sorted array of the 64-bit hashes of all training words, cut into shards by the hash's top
   bits; a word's id is its place in it. One end token closes each text.
-* An entry of order k is a k-gram's context hashes of lengths k - 1 to 1 and the id of its last word. Order N has
-  raw counts. Dropping the longest context gives the entries of order k - 1, counted by how many different words
+* An entry of order k is the ids of a k-gram's words. Sorted, these shrink to a few bytes; hashes wouldn't. Order N
+  has raw counts. Dropping the first word gives the entries of order k - 1, counted by how many different words
   precede them (N - 1 begin symbols stand before each text).
 * A shard of order k holds all k-grams of its contexts: sorted k-gram hashes with counts, and sorted context hashes
-  with the sum of counts and the numbers of k-grams counted once, twice and more often.
+  with the sum of counts and the numbers of k-grams counted once, twice and more often. The number of shards follows
+  the counted tokens, at about SHARD of them each.
+* A sorted array is cut into buckets by its hashes' top bits, some eight hashes each, and keeps the next 32 bits of
+  each. So an n-gram never seen passes for a seen one about once in 2 ** 29 look-ups. Values are a byte each: the 255
+  most frequent ones of the shard, and a sorted list of places for the others.
 
 Workers memory-map the arrays and look tokens up by binary search. Discounts come from the counts of counts of each
 order (Chen and Goodman); order 0 is uniform over the vocabulary and one unknown word, so probabilities after any
@@ -42,6 +46,8 @@ END_HASH = _U(0x656E64206F662074)  # the end token's place in the vocabulary
 BEGIN, UNKNOWN = _U(0xB5297A4D3F84E1C7), _U(0xC2B2AE3D27D4EB4F)
 #: distinct entries that a counting task holds before it sends them on
 HELD = 1_500_000
+#: training tokens in a shard of n-grams, about; there are at least as many shards as shuffle partitions
+SHARD = 1 << 23
 HELD_OUT = (7, 2)
 
 
@@ -63,8 +69,8 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 
 def _encode(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Rows in order of the first column, which is stored as differences."""
-    order = np.lexsort((columns[-1], columns[0]))
+    """Rows in order of their columns; the first is stored as differences."""
+    order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     parts = [_planes(np.diff(columns[0], prepend=_U(0))), *(_planes(c) for c in columns[1:]), _planes(counts[order])]
     return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
@@ -148,9 +154,9 @@ class Arrays:
             self.open[k] = storage.map_array(f"{self.at}-{k}.npy"), storage.map_array(f"{self.at}-{self.values}-{k}.npy")
         return self.open[k]
 
-    def find(self, shard: np.ndarray, keys: np.ndarray, shape: tuple = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, shard: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each key: is it there, its place within its shard, and its values."""
-        there, place, out = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros((len(keys), *shape), _U)
+        there, place, out = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), _U)
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
         for rows in np.split(order, cuts[1:]) if len(order) else []:
@@ -165,6 +171,101 @@ class Arrays:
         return there, place, out
 
 
+def _blob(arrays: list[np.ndarray]) -> np.ndarray:
+    """Arrays one behind the other in one, with their types and shapes in front."""
+    head = json.dumps([[a.dtype.str, a.shape] for a in arrays]).encode()
+    head = head.ljust(-(-len(head) // 16) * 16)
+    parts = [np.array([len(head)], "<i8").tobytes(), head, *(np.ascontiguousarray(a).tobytes() for a in arrays)]
+    return np.frombuffer(b"".join(parts), np.uint8)
+
+
+def _from_blob(blob: np.ndarray) -> list[np.ndarray]:
+    at = 8 + int(blob[:8].view("<i8")[0])
+    out = []
+    for kind, shape in json.loads(blob[8:at].tobytes()):
+        n = int(np.prod(shape)) * np.dtype(kind).itemsize
+        out.append(blob[at : at + n].view(kind).reshape(shape))
+        at += n
+    return out
+
+
+class Table:
+    """One shard's hashes with rows of values."""
+
+    def __init__(self, blob: np.ndarray):
+        self.at, self.low, self.code, self.book, self.place, self.rest = _from_blob(blob)
+        self.bits = (len(self.at) - 1).bit_length() - 1
+
+    @staticmethod
+    def build(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Of ascending hashes, and a row of values for each."""
+        bits = (len(keys) // 8).bit_length()
+        at = np.searchsorted(Table.bucket(keys, bits), np.arange((1 << bits) + 1))
+        same = values[:, 0]
+        for k in range(1, values.shape[1]):
+            same = pair(same, values[:, k])
+        _, first, inverse, n = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+        often = np.argsort(-n, kind="stable")[:255]
+        code = np.full(len(n), 255, np.uint8)
+        code[often] = np.arange(len(often))
+        code = code[inverse]
+        place = np.flatnonzero(code == 255)
+        return _blob([at.astype(np.uint32), Table.rest_of(keys, bits), code, values[first[often]], place.astype(np.uint32), _least(values[place])])
+
+    @staticmethod
+    def bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+    @staticmethod
+    def rest_of(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys << _U(bits)) >> _U(32)).astype(np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key: is it there, and its values; 0 where it isn't."""
+        out = np.zeros((len(keys), self.book.shape[1]), _U)
+        if not len(self.low):
+            return np.zeros(len(keys), bool), out
+        own, want = self.bucket(keys, self.bits), self.rest_of(keys, self.bits)
+        low, end = self.at[own].astype(np.int64), self.at[own + 1].astype(np.int64)
+        high = end.copy()
+        for _ in range(int((high - low).max()).bit_length() if len(keys) else 0):
+            mid = (low + high) >> 1
+            less = (self.low[np.minimum(mid, len(self.low) - 1)] < want) & (low < high)
+            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+        there = low < end
+        there[there] = self.low[low[there]] == want[there]
+        at = low[there]
+        code = self.code[at]
+        values = self.book[np.minimum(code, len(self.book) - 1)].astype(_U)
+        if (far := code == 255).any():
+            values[far] = self.rest[np.searchsorted(self.place, at[far])]
+        out[there] = values
+        return there, out
+
+
+class Tables:
+    """Shards of tables, memory-mapped when first used."""
+
+    def __init__(self, folder: str, name: str):
+        self.at, self.open = f"{folder}/{name}", {}
+
+    def find(self, shard: np.ndarray, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        there, out = np.zeros(len(keys), bool), np.zeros((len(keys), width), _U)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
+        for rows in np.split(order, cuts[1:]) if len(order) else []:
+            k = int(shard[rows[0]])
+            if k not in self.open:
+                self.open[k] = Table(storage.map_array(f"{self.at}-{k}.npy"))
+            there[rows], out[rows] = self.open[k].find(keys[rows])
+        return there, out
+
+
+def _context_key(context: np.ndarray, bits: int) -> np.ndarray:
+    """A hash whose top bits tell a shard's contexts apart; the shard is in the bits above them."""
+    return mix(context) << _U(bits)
+
+
 def _put(folder: str, name: str, k: int, values: str, hashes: np.ndarray, data: np.ndarray) -> None:
     storage.write_array(f"{folder}/{name}-{k}.npy", hashes.astype("<u8"))
     storage.write_array(f"{folder}/{name}-{values}-{k}.npy", data)
@@ -180,14 +281,23 @@ def _tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.append(distinct, END_HASH), np.insert(inverse, c.word_at[1:], len(distinct))
 
 
-def _contexts(ids: np.ndarray, rows: np.ndarray, order: int) -> list[np.ndarray]:
-    """Columns of order-grams: context hashes of lengths order - 1 to 1, and the word."""
-    out = [ids]
+def _grams(ids: np.ndarray, rows: np.ndarray, order: int) -> list[np.ndarray]:
+    """Columns of order-grams: ids plus one of their words, the first word first; 0 before a text."""
+    out = [ids + _U(1)]
     for j in range(1, order):
-        before = np.full(len(ids), BEGIN, _U)
+        before = np.zeros(len(ids), _U)
         if j < len(ids):
-            before[j:] = np.where(rows[j:] == rows[:-j], ids[:-j], BEGIN)
-        out.insert(0, before if j == 1 else pair(out[0], before))
+            before[j:] = np.where(rows[j:] == rows[:-j], ids[:-j] + _U(1), _U(0))
+        out.insert(0, before)
+    return out
+
+
+def _contexts(grams: list[np.ndarray]) -> list[np.ndarray]:
+    """Context hashes of lengths order - 1 to 1, and the id of the last word."""
+    *before, word = (np.where(c == 0, BEGIN, c - _U(1)) for c in grams)
+    out = [word]
+    for k, c in enumerate(reversed(before)):
+        out.insert(0, pair(out[0], c) if k else c)
     return out
 
 
@@ -207,7 +317,7 @@ class Model:
     """What workers need to score: a small description; arrays are opened by each worker."""
 
     def __init__(self, folder: str, bits: int, order: int):
-        self.folder, self.bits, self.order = folder, bits, order
+        self.folder, self.bits, self.gram_bits, self.order = folder, bits, bits, order
         self.offsets = np.zeros(1 << bits, _U)
         self.words, self.tokens = 0, 0
         self.discounts: dict[int, list[float]] = {}
@@ -220,6 +330,9 @@ class Model:
     def arrays(self, name: str, values: str) -> Arrays:
         return self._open.setdefault(name, Arrays(self.folder, name, values))
 
+    def tables(self, name: str) -> Tables:
+        return self._open.setdefault(name, Tables(self.folder, name))
+
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and training counts of word hashes."""
         shard = _top(hashes, self.bits)
@@ -230,14 +343,14 @@ class Model:
         """Of the last word of each of the given order-grams."""
         total, weight = self.bottom
         word = columns[-1]
-        _, _, n = self.arrays("g1", "n").find(_shard([word], self.bits), _key([word]))
+        n = self.tables("g1").find(_shard([word], self.gram_bits), _key([word]))[1][:, 0]
         uniform = 1 / (self.words + 1)
         p = (np.maximum(n - self._off(1, n), 0) + weight * uniform) / total if total else np.full(len(word), uniform)
         for k in range(2, self.order + 1):
             own = columns[len(columns) - k :]
-            shard = _shard(own, self.bits)
-            known, _, stats = self.arrays(f"c{k}", "s").find(shard, own[0], (4,))
-            _, _, n = self.arrays(f"g{k}", "n").find(shard, _key(own))
+            shard = _shard(own, self.gram_bits)
+            known, stats = self.tables(f"c{k}").find(shard, _context_key(own[0], self.gram_bits), 4)
+            n = self.tables(f"g{k}").find(shard, _key(own))[1][:, 0]
             stats = np.where(known[:, None], stats, _U(1)).astype(float)
             longer = (np.maximum(n - self._off(k, n), 0) + stats[:, 1:] @ np.array(self.discounts[k]) * p) / stats[:, 0]
             p = np.where(known, longer, p)
@@ -257,16 +370,16 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return out
 
 
-def train(docs: DataFrame, order: int = 2, folder: str | None = None) -> Model:
+def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
     """Learn from all rows of ``docs`` (doc_id and text)."""
     spark = docs.sparkSession
     folder = folder or storage.shared_dir(spark, "lm")
-    bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    word_bits = bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     model = Model(folder, bits, order)
     texts = docs.select("text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(lambda c: c[0], lambda c: _top(c[0], bits))
+        held = _Held(lambda c: c[0], lambda c: _top(c[0], word_bits))
         for b in batches:
             for c in chunks(b.column(0)):
                 distinct, at = _tokens(c)
@@ -291,14 +404,19 @@ def train(docs: DataFrame, order: int = 2, folder: str | None = None) -> Model:
             _put(folder, "words", k, "n", np.empty(0, _U), np.empty(0, np.uint16))
     model.words = at
 
+    model.gram_bits = bits = max(bits, (model.tokens // SHARD).bit_length())
+
+    def entries() -> _Held:
+        return _Held(lambda c: _key(_contexts(c)), lambda c: _shard(_contexts(c), bits))
+
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(_key, lambda c: _shard(c, bits))
+        held = entries()
         for b in batches:
             for c in chunks(b.column(0)):
                 distinct, place = _tokens(c)
                 ids, _ = model.ids(distinct)
                 rows = np.repeat(np.arange(c.rows), c.n_words + 1)
-                yield from _blocks(held, held.add(_contexts(ids[place], rows, order)))
+                yield from _blocks(held, held.add(_grams(ids[place], rows, order)))
         yield from _blocks(held, held.send())
 
     def write_grams(k: int):
@@ -308,18 +426,19 @@ def train(docs: DataFrame, order: int = 2, folder: str | None = None) -> Model:
                 return rows
             columns, counts = zip(*map(_decode, rows["block"]), strict=True)
             columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
-            keys, columns, n = _merge(_key(columns), columns, np.concatenate(counts))
-            _put(folder, f"g{k}", shard, "n", keys, _least(n))
+            keys, columns, n = _merge(_key(_contexts(columns)), columns, np.concatenate(counts))
+            storage.write_array(f"{folder}/g{k}-{shard}.npy", Table.build(keys, n[:, None]))
             of = [int((n == j).sum()) for j in (1, 2, 3, 4)]
             stats = {"order": k, "shard": shard, "n": of, "entries": len(n), "total": int(n.sum())}
             out = [(-1, None, json.dumps(stats))]
             if k > 1:
-                order_ = np.argsort(columns[0], kind="stable")
-                ctx, m = columns[0][order_], n[order_]
+                ctx = _context_key(_contexts(columns)[0], bits)
+                by_context = np.argsort(ctx, kind="stable")
+                ctx, m = ctx[by_context], n[by_context]
                 first = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
                 sums = [np.add.reduceat(x, first) for x in (m, (m == 1).astype(_U), (m == 2).astype(_U), (m > 2).astype(_U))]
-                _put(folder, f"c{k}", shard, "s", ctx[first], _least(np.stack(sums, 1)) if len(first) else np.empty((0, 4), np.uint16))
-                held = _Held(_key, lambda c: _shard(c, bits))
+                storage.write_array(f"{folder}/c{k}-{shard}.npy", Table.build(ctx[first], np.stack(sums, 1)))
+                held = entries()
                 out += [(s, b, None) for s, b in [*held.add(columns[1:]), *held.send()]]
             return pd.DataFrame(out, columns=["shard", "block", "stats"])
 
@@ -333,9 +452,8 @@ def train(docs: DataFrame, order: int = 2, folder: str | None = None) -> Model:
         own = [x for x in found if x["order"] == k]
         model.discounts[k] = discounts(*(sum(x["n"][j] for x in own) for j in range(4)))
         for missing in {*range(1 << bits)} - {x["shard"] for x in own}:
-            _put(folder, f"g{k}", missing, "n", np.empty(0, _U), np.empty(0, np.uint16))
-            if k > 1:
-                _put(folder, f"c{k}", missing, "s", np.empty(0, _U), np.empty((0, 4), np.uint16))
+            for name, width in ((f"g{k}", 1), (f"c{k}", 4))[: 1 + (k > 1)]:
+                storage.write_array(f"{folder}/{name}-{missing}.npy", Table.build(np.empty(0, _U), np.empty((0, width), _U)))
         if k == 1:
             n1, n2 = (sum(x["n"][j] for x in own) for j in (0, 1))
             more = sum(x["entries"] for x in own) - n1 - n2
@@ -364,7 +482,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 ids, counts = own.ids(distinct)
                 rows = np.repeat(np.arange(c.rows), c.n_words + 1)
                 first = c.word_at[:-1] + np.arange(c.rows)
-                columns = _contexts(ids[place], rows, own.order)
+                columns = _contexts(_grams(ids[place], rows, own.order))
                 _, at, inverse = np.unique(pair(_key(columns), columns[-1]), return_index=True, return_inverse=True)
                 logs = np.log10(own.probabilities([x[at] for x in columns]))[inverse]
                 base = np.log10((counts + 1.0) / (own.tokens + own.words + 1))[place]
