@@ -1,3 +1,5 @@
+import math
+import random
 import time
 
 import pytest
@@ -44,6 +46,81 @@ def test_bare_text_beside_a_list():
     assert got == [" ".join([bare] * 4), *[LONG[:80].strip()] * 5, " ".join(f"{LONG}{LONG}".split())]
 
 
+TEASER = "<article>Short teaser of another page.</article>"
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    (f"<div class='page ads-on'><article><p>{LONG}</p></article></div>", [LONG]),
+    (f"<main class='promo-page'><p>{LONG}</p></main>", [LONG]),
+    (f"<div class='login-page'><p>{LONG}</p></div><p class=ad>x</p>", [LONG]),
+    (f"<div class='share-wrapper'>{MENU}<article><p>{LONG}</p><div class=share>Share</div></article></div>", [LONG]),
+    (f"<form id=aspnetForm><input type=hidden>{MENU}<div><p>{LONG}</p><p>{LONG}</p></div><footer>Foot</footer></form>", [LONG, LONG]),
+    (f"<form><article><p>{LONG}</p><form>Name <input></form></article></form>", [LONG]),
+    (f"<div aria-hidden=true><main><p>{LONG}</p></main></div><div>Loading</div>", [LONG]),
+    (f"<div class='comments-open'><article><p>{LONG}</p></article><section class=comments><article class=comment>{LONG * 9}</article></section></div>", [LONG]),
+    (f"<article><p>{LONG}</p></article><section id=comments><article>{LONG * 9}</article></section>", [LONG]),
+    (f"<article><p>{LONG}</p></article><aside>{TEASER * 3}</aside><div class=related>{TEASER * 3}</div>", [LONG]),
+    (f"<div class=content><p>{LONG}</p></div><div id=comments><p>{LONG * 9}</p></div>", [LONG]),
+    (f"<p>{LONG}</p><nav><article>{LONG}</article></nav><article class=promo>{LONG[:50]}</article><main>{LONG}</main>", [LONG, LONG]),
+])
+def test_names_do_not_drop_the_article(body, want):
+    assert html.main_text(page(body)) == "\n".join(" ".join(x.split()) for x in want)
+
+
+def naive(root):
+    """Density, density sum and best subtree of every node, each from a list of all that is below it."""
+    kept = lambda n: [x for x in n.parts if isinstance(x, html.Node) and not x.drop]
+    below = lambda n: [y for x in kept(n) for y in [x, *below(x)]]
+    chars = lambda n: sum(len("".join(x.split())) for y in [n, *below(n)] for x in y.parts if isinstance(x, str))
+    tags = lambda n: [x for x in below(n) if x.tag != html.RUN]
+
+    def links(n):
+        top = [n] if n.tag == "a" else [x for x in below(n) if x.tag == "a" and not any(y.tag == "a" and x in below(y) for y in below(n))]
+        return sum(map(chars, top)), sum(len(tags(x)) for x in top) + sum(x is not n for x in top)
+
+    share = links(root)[0] / (chars(root) or 1)
+
+    def density(n):
+        c, t, (lc, lt) = chars(n), len(tags(n)), links(n)
+        if not c:
+            return 0.0
+        base = math.log(c / ((c - lc) or 1) * lc + share * c + math.e)
+        return max(0.0, c / (t or 1) * math.log(max(c / (lc or 1) * (t or 1) / (lt or 1), 1e-9), base)) if base > 1 else c / (t or 1)
+
+    def parts(n):
+        return [z for x in kept(n) for z in ([x] if x.tag in html.BLOCK or x.tag == html.RUN else parts(x))]
+
+    total = {id(n): sum(map(density, parts(n))) if parts(n) else density(n) for n in [root, *below(root)]}
+    blocks = lambda n: [y for x in parts(n) for y in [x, *blocks(x)]]
+    return {id(n): (density(n), total[id(n)], max(total[id(x)] for x in [n, *blocks(n)])) for n in [root, *below(root)]}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_densities_by_brute_force(seed):
+    rng = random.Random(seed)
+
+    def grow(depth):
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            tag = rng.choice(["div", "p", "ul", "a", "b", "section"])
+            inner = grow(depth - 1) if depth and tag != "a" and rng.random() < 0.6 else " ".join("word" for _ in range(rng.randrange(12)))
+            out.append(f"<{tag}>{inner}</{tag}>" + rng.choice(["", "loose text ", " "]))
+        return "".join(out)
+
+    root = html.parse(grow(3))
+    nodes = html.measure(root)
+    want = naive(root)
+    for n in nodes:
+        assert (n.density, n.sum, n.best.sum) == pytest.approx(want[id(n)]), n.tag
+
+
+def test_slices(spark, monkeypatch):
+    monkeypatch.setattr(html, "SLICE", 1)
+    rows = [(k, f"u{k}", f"<p>{LONG}{k}</p>" if k % 3 else None) for k in range(20)]
+    found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert [(r["page_id"], r["url"], r["text"]) for r in found] == [(k, u, f"{LONG}{k}" if h else "") for k, u, h in rows]
+
+
 def test_densities_by_hand():
     root = html.parse("<div><p>abcd <a>ef</a></p><p>gh</p></div>")
     nodes = {n.tag + str(n.c): n for n in html.measure(root)}

@@ -1,10 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree as browsers read it, as far as text needs: raw text of scripts and the like, void
-elements, end tags left out, comments, character references. Elements that never hold an article's own words (menus,
+elements, end tags left out, comments, character references. Elements that don't hold an article's own words (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) go first, by tag, role, class
-or id; a class like ``sidebar`` on an element around the article, or around most of the page, is a layout's and goes
-for nothing. For each remaining node, C counts its characters, T its tags, LC and LT those of links; its density is
+or id. But a name, role or form doesn't drop what the page is about (``_spare``): an element around the page's only
+article, or, if its name could be a layout's, around most of the page's text. For each remaining node, C counts its characters, T its tags, LC and LT those of links; its density is
 
     C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCbody / Cbody * C + e)
 
@@ -12,6 +12,8 @@ with 1 for zero denominators: characters per tag, less the more of them are in l
 sum of its children's densities holds the article. The least density on its path from the body is the threshold:
 every other part of the page whose density reaches it gives its own greatest-sum subtree, too.
 
+Ties of density sums go to the outer node, and of its children to the first.
+
 Text is given in blocks: one line for each run of text between block elements, white space as one space.
 
 Defined results: a null or empty html gives an empty text; so does a page without text in its body. Pages are read
@@ -24,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,22 +39,26 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav "
     "ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: elements whose content isn't an article's
-DROP = frozenset(
-    "head script style noscript template title nav footer aside form button input select textarea option datalist label iframe object embed applet svg math canvas audio video map menu dialog noembed noframes xmp fieldset".split()
-)
+#: elements that hold no text of a page at all
+DROP = frozenset("head script style noscript template title button input select textarea option datalist label iframe object embed applet svg math canvas audio video map noembed noframes xmp".split())
+#: elements whose content isn't an article's, unless they are around the article; forms also if around most of the page
+ASIDE, FORM = frozenset("nav footer aside menu dialog".split()), frozenset(["form", "fieldset"])
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-# fixed values: words of class and id names; SURE ones are never an article's, LOOSE ones may also name what is around it
+# fixed values: words of class and id names, of reader comments, of what is seldom an article's, and of layouts
+_TALK = re.compile(r"(?:comments?|commentlist|commentform|disqus\w*|replies|respond)(?:$|[_-])")
 _SURE = re.compile(
-    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|breadcrumbs?|comments?|commentlist|commentform|disqus\w*|replies|respond|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|login|share|sharing|"
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|breadcrumbs?|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|login|share|sharing|"
     r"related|recommended|pagination|pager|skip|sr-only|visually-hidden)(?:$|[_-])"
 )
 _LOOSE = re.compile(r"(?:banner|nav|navbar|navigation|menu\w*|footer|side-?bar|widgets?|notices?|popup|modal|overlay|social|toolbar|copyright|legal|disclaimer|hidden)(?:$|[_-])")
 _HEADER = re.compile(r"(?:header|masthead)(?:$|[_-])")
 #: a name with one of these says what a page has, not what an element is
 _SAYS = re.compile(r"(?:has|no|with|without|is|js|enable|show|hide)[_-]")
-#: share of a page's text above which a LOOSE name is taken for a layout's
+#: share of a page's text above which a name, other than of reader comments, or a form is taken for a layout's
 _LAYOUT = 0.6
+#: why an element may go: never spared; hidden, or by tag, role or a name of comments; by a name or as a form; by a name
+#: that layouts have, too
+NEVER, APART, NAMED, LOOSE = 4, 3, 2, 1
 #: an opening p, or one of these, ends what stands open, up to the element that holds it
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 _SCOPE = frozenset("table td th caption button object applet html body article section main div li".split())
@@ -61,6 +68,10 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+#: characters of text that a task sends on at once, about
+SLICE = 1 << 24
+
+
 class Node:
     __slots__ = ("tag", "up", "parts", "drop", "c", "t", "lc", "lt", "density", "sum", "best")
 
@@ -78,37 +89,48 @@ def _named(pattern: re.Pattern, names: list[str]) -> bool:
 
 
 def _boilerplate(tag: str, attributes: str, inside) -> int:
-    """2: never part of an article. 1: not by its name, if the name isn't a layout's. 0: may be."""
-    if tag in DROP or tag == "header" and not inside():
-        return 2
+    """NEVER, APART, NAMED, LOOSE, or 0 for what may be part of an article."""
+    if tag in DROP:
+        return NEVER
+    if tag in ASIDE or tag == "header" and not inside():
+        return APART
+    own = NAMED if tag in FORM else 0
     if not attributes or tag in ("html", "body"):
-        return 0
+        return own
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in _ROLES or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "").lower()):
-        return 2
+        return APART
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "hidden" else " ", attributes)):
-        return 2
+        return APART
     names = [x for k in ("class", "id") for x in found.get(k, "").lower().split() if not _SAYS.match(x)]
-    if _named(_SURE, names):
-        return 2
+    if _named(_TALK, names):
+        return APART
+    if own or _named(_SURE, names):
+        return NAMED
     if tag in ("article", "main"):
         return 0
-    return int(_named(_LOOSE, names) or _named(_HEADER, names) and not inside())
+    return LOOSE if _named(_LOOSE, names) or _named(_HEADER, names) and not inside() else 0
 
 
 def parse(source: str) -> Node:
     """The tree of a page, from its body."""
     root = Node("body", None, 0)
     stack = [root]
+    stands: Counter[str] = Counter()  # how many elements of a tag stand open
     at, n = 0, len(source)
 
     def text(s: str) -> None:
-        if s and stack[-1].drop < 2:
+        if s and stack[-1].drop < NEVER:
             stack[-1].parts.append(entities.unescape(s) if "&" in s else s)
 
     def close(to: int) -> None:
+        stands.subtract(x.tag for x in stack[to:])
         del stack[to:]
 
+    def push(node: Node) -> None:
+        stands[node.tag] += 1
+        stack.append(node)
+
     while at < n:
         start = _START.search(source, at)
         text(source[at : start.start() if start else n])
@@ -123,7 +145,7 @@ def parse(source: str) -> Node:
         if tag in ("html", "body"):
             continue  # the root stands for both
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if stands[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -134,7 +156,7 @@ def parse(source: str) -> Node:
                     stack[-1].parts.append(Node("p", stack[-1], stack[-1].drop))
             continue
         if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if stands["p"] else ():
                 if stack[k].tag == "p":
                     close(k)
                     break
@@ -151,50 +173,65 @@ def parse(source: str) -> Node:
             if low is not None:
                 close(low)
         if tag in "h1 h2 h3 h4 h5 h6".split() and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            close(len(stack) - 1)
         up = stack[-1]
-        drop = 2 if up.drop == 2 else _boilerplate(tag, m[4], lambda: any(x.tag in ("article", "main") for x in stack))
+        drop = NEVER if up.drop == NEVER else _boilerplate(tag, m[4], lambda: any(x.tag in ("article", "main") for x in stack))
         node = Node(tag, up, drop)
         up.parts.append(node)
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            if drop < 2:
+            if drop < NEVER:
                 node.parts.append(source[at : end.start() if end else n])
             at = end.end() if end else n
             continue
         if tag == "head" and stack[-1] is root:
-            stack.append(node)
+            push(node)
             continue
         if stack[-1].tag == "head" and tag not in ("meta", "link", "base", "template", "noscript"):
-            stack.pop()  # the head's end tag was left out
+            close(len(stack) - 1)  # the head's end tag was left out
             up.parts.pop()
             node.up, node.drop = stack[-1], _boilerplate(tag, m[4], bool)
             stack[-1].parts.append(node)
-        stack.append(node)
-    _spare_layouts(root)
+        push(node)
+    _spare(root)
     return root
 
 
-def _spare_layouts(root: Node) -> None:
-    """Keep what a LOOSE name would drop, where it holds an article or main element or most of the page's text."""
+def _spare(root: Node) -> None:
+    """Keep what would go by its tag, role or name, where it holds the page's article or most of its text.
+
+    An article is an article or main element that nothing below the element in question would drop. What goes by a
+    name or as a form stays if it holds more text of articles than all that stays without it, or more than _LAYOUT
+    of the page's text; what goes for another reason only if nothing else holds an article, and never
+    for its text alone. A LOOSE name stays with any article. Outer elements are settled first."""
     nodes, todo = [], [root]
     while todo:
         node = todo.pop()
         nodes.append(node)
-        todo += [x for x in node.parts if isinstance(x, Node) and x.drop < 2]
+        todo += [x for x in node.parts if isinstance(x, Node) and x.drop < NEVER]
     if not any(x.drop for x in nodes):
         return
     size: dict[int, int] = {}
-    holds: dict[int, bool] = {}
+    article: dict[int, int] = {}  # characters in articles that nothing at or below the node drops
     for node in reversed(nodes):
-        inner = [x for x in node.parts if isinstance(x, Node) and x.drop < 2]
+        inner = [x for x in node.parts if isinstance(x, Node) and x.drop < NEVER]
         size[id(node)] = sum(sum(map(len, x.split())) for x in node.parts if isinstance(x, str)) + sum(size[id(x)] for x in inner)
-        holds[id(node)] = node.tag in ("article", "main") or any(holds[id(x)] for x in inner)
-    for node in nodes:
-        if node.drop == 1 and (holds[id(node)] or size[id(node)] > _LAYOUT * size[id(root)]):
+        article[id(node)] = size[id(node)] if node.tag in ("article", "main") else sum(article[id(x)] for x in inner if x.drop in (0, LOOSE))
+    kept = article[id(root)]
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        own = article[id(node)]
+        if node.drop == LOOSE and (own or size[id(node)] > _LAYOUT * size[id(root)]):
+            node.drop = 0
+        elif node.drop == NAMED and (own > kept or not kept and size[id(node)] > _LAYOUT * size[id(root)]):
+            node.drop = 0
+        elif node.drop == APART and own and not kept and node.tag not in ("article", "main"):
             node.drop = 0
+        if not node.drop:
+            todo += [x for x in reversed(node.parts) if isinstance(x, Node) and x.drop < NEVER]
 
 
 def _walk(root: Node) -> list[Node]:
@@ -344,8 +381,19 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            first, texts, held = 0, [], 0
+
+            def rows(end: int) -> pa.RecordBatch:
+                columns = [b.column(k).slice(first, end - first) for k in (0, 1)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])  # noqa: B023
+
+            for k, x in enumerate(b.column(2)):
+                texts.append(main_text(x.as_py()))
+                held += len(texts[-1])
+                if held >= SLICE:
+                    yield rows(k + 1)
+                    first, texts, held = k + 1, [], 0
+            yield rows(b.num_rows)
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
