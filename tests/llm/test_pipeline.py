@@ -21,7 +21,7 @@ def test_stages_against_brute_force(spark, data):
             assert all(r == given[r["doc_id"]] for r in out[name])
 
     votes = quality.measures(spark.read.parquet(f"{data}/documents.parquet")).collect()
-    post = quality.estimate(Counter(r["votes"] for r in votes))[2]
+    post = quality.estimate(Counter(r["votes"] for r in votes)).posterior
     good = {r["doc_id"] for r in votes if post[r["votes"]] >= 0.5 and (m := measures(given[r["doc_id"]]["text"]))[0] >= 50 and 100 * m[4] <= 50 * m[0]}
     assert {r["doc_id"] for r in out["quality_rules"]} == good
 

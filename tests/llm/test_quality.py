@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,19 +52,53 @@ def test_corpus_without_junk_stays_whole(spark):
     assert quality.keep_good(docs).count() == 300
 
 
-def test_estimate_by_brute_force():
-    """The posterior of the fitted rates is Bayes' rule, pattern by pattern."""
+def planted(seed, share=0.8, n=60_000):
+    """Votes of documents drawn from the model, with its probabilities."""
+    rng = np.random.default_rng(seed)
+    k = len(quality.RULES)
+    b = np.stack([rng.uniform(0.01, 0.1, k), rng.uniform(0.3, 0.7, k)])
+    g = np.stack([rng.uniform(0.6, 0.9, k), rng.uniform(0.1, 0.5, k)])
+    bad = (rng.random(n) > share).astype(int)
+    votes = np.where(rng.random((n, k)) < b[bad], "-", np.where(rng.random((n, k)) < g[bad], "+", "0"))
+    return share, b, g, bad, ["".join(v) for v in votes]
+
+
+@pytest.mark.parametrize(("seed", "share"), [(1, 0.8), (2, 0.95), (3, 0.25)])
+def test_planted_probabilities_are_recovered(seed, share):
+    share, b, g, bad, votes = planted(seed, share)
+    fit = quality.estimate(Counter(votes))
+    assert abs(fit.share - share) < 0.01 and np.abs(fit.b - b).max() < 0.03 and np.abs(fit.g - g).max() < 0.04
+    assert np.mean([(fit.posterior[v] < 0.5) == x for v, x in zip(votes, bad, strict=True)]) > 0.97
+    assert min(np.diff(fit.history)) > -1e-6  # the likelihood never falls
+    right = fit.accuracies()
+    for k, name in enumerate(quality.RULES):
+        marks = np.array([v[k] for v in votes])
+        assert abs(right[name]["bad_right"] - bad[marks == "-"].mean()) < 0.05 and abs(right[name]["votes"] - (marks != "0").mean()) < 0.02
+
+
+def test_posterior_is_bayes_rule():
     rest = "0" * (len(quality.RULES) - 4)
     patterns = {"+00+" + rest: 900, "+--0" + rest: 40, "0--0" + rest: 9, "+00+" + rest[:-1] + "-": 3}
-    share, rates, post = quality.estimate(patterns, 500)
-    for p, found in post.items():
-        like = [share, 1 - share]
+    fit = quality.estimate(patterns)
+    rates = fit.rates()
+    assert np.allclose(rates.sum(1), 1)
+    for p, found in fit.posterior.items():
+        like = [fit.share, 1 - fit.share]
         for c in (0, 1):
             for j, v in enumerate(p):
-                like[c] *= 1 if v == "0" else rates[c, "+-".index(v), j]
-        assert abs(found - like[0] / sum(like)) < 1e-6
-    assert post["+00+" + rest] > 0.9 and post["+--0" + rest] < 0.1
-    assert (rates[0, 1] <= rates[1, 1]).all() and (rates[0, 0] >= rates[1, 0]).all()
+                like[c] *= rates[c, "+-0".index(v), j]
+        assert abs(found - like[0] / sum(like)) < 1e-4
+    assert fit.posterior["+00+" + rest] > 0.9 and fit.posterior["+--0" + rest] < 0.1
+    assert (fit.b[0] <= fit.b[1] + 1e-12).all() and (fit.g[0] >= fit.g[1] - 1e-12).all()
+
+
+def test_mostly_junk():
+    """The share of good documents has no floor, unless one is asked for."""
+    rest = "0" * (len(quality.RULES) - 4)
+    patterns = {"+00+" + rest: 200, "+--0" + rest: 500, "0--0" + rest: 300}
+    free, held = quality.estimate(patterns), quality.estimate(patterns, least_share=0.5)
+    assert abs(free.share - 0.2) < 0.02 and not free.bound and held.share == 0.5 and held.bound
+    assert free.posterior["+00+" + rest] > 0.9 and free.posterior["+--0" + rest] < 0.1
 
 
 def test_awkward(awkward, nothing):

@@ -2,15 +2,18 @@
 
 Each rule looks at one measure of a text and votes good, bad or abstains; most rules can only tell one of the two.
 Nobody says which rules are right: expectation-maximisation estimates, from how the votes of all documents agree,
-how often each rule votes good and bad on good and on bad documents, and how many documents are good. Abstaining
-is no evidence. A document's posterior probability of being good replaces the filter in which every rule must pass.
+how often each rule votes bad, abstains and votes good on good and on bad documents, and how many documents are good. A
+document's posterior probability of being good replaces the filter in which every rule must pass.
 
-Votes are counted by pattern in Spark. There are at most 3 ** len(RULES) patterns, whatever the input, and only
-those that occur go to the driver and come back as a literal map.
+The model: a document is good with probability ``share``. Given that, rules vote independently: rule r votes bad with
+probability b, and where it doesn't, good with probability g, else it abstains. Two constraints tell the classes
+apart: no rule votes bad more often on good documents than on bad ones, nor, where it doesn't vote bad, good
+more often on bad ones. An estimate that breaks one is replaced by that of all documents together, which is the maximum
+under the constraint. So each round raises the likelihood (with the pseudo-documents of PRIOR), and the posterior is Bayes'
+rule. ``share`` is estimated like the rest; a least value may be asked for.
 
-Two constraints keep a corpus without junk from being torn in two: a rule never votes bad more often on good
-documents than on bad ones (nor good more often on bad ones), and at least half of the documents are good. So a
-document on which no rule votes bad is kept, and one bad vote of a rule that errs often is outweighed.
+Votes are counted by pattern in Spark. There are at most 3 ** len(RULES) patterns, whatever the input, and only
+those that occur go to the driver and come back as a small table to join.
 
 Defined results: a null text is an empty text; it has no words and fails the base rules. Rows are judged one by
 one, so repeated rows get equal results and extra columns don't matter. An empty table gives an empty table.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -119,51 +123,85 @@ def measures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{k} long' for k in _COUNTS)}, votes string")
 
 
-def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[str, float]]:
-    """Share of good documents; rates[class, vote, rule] with class and vote 0 good, 1 bad; posterior of each
-    pattern. One pseudo-document per vote and class keeps rates off 0."""
+class Fit(NamedTuple):
+    """share of good documents; b and g by class (0 good, 1 bad) and rule; posterior by pattern; log likelihood (with the
+    pseudo-documents) after each round; was the least share asked for reached."""
+
+    share: float
+    b: np.ndarray
+    g: np.ndarray
+    posterior: dict[str, float]
+    history: list[float]
+    bound: bool
+
+    def rates(self) -> np.ndarray:
+        """Probability by class, vote (good, bad, abstain) and rule."""
+        return np.stack([(1 - self.b) * self.g, self.b, (1 - self.b) * (1 - self.g)], 1)
+
+    def accuracies(self) -> dict[str, dict[str, float]]:
+        """Of each rule: how often it votes, and how often its votes are right (None if it never votes)."""
+        joint = self.rates() * np.array([self.share, 1 - self.share])[:, None, None]
+        out = {}
+        for k, name in enumerate(RULES):
+            votes = joint[:, :2, k].sum()
+            out[name] = {"votes": float(votes), "right": float((joint[0, 0, k] + joint[1, 1, k]) / votes), "good_right": float(joint[0, 0, k] / joint[:, 0, k].sum()), "bad_right": float(joint[1, 1, k] / joint[:, 1, k].sum())}
+        return out
+
+
+#: pseudo-documents of each class, and how often these vote bad, and good where they don't
+PRIOR, PRIOR_B, PRIOR_G = 2.0, np.array([0.02, 0.5]), np.array([0.6, 0.4])
+
+
+def estimate(patterns: dict[str, int], rounds: int = 500, least_share: float | None = None) -> Fit:
+    """Fit the model to patterns and their numbers."""
     keys = sorted(patterns)
+    rules = len(keys[0]) if keys else len(RULES)
     n = np.array([patterns[k] for k in keys], float)
-    marks = np.array([list(k) for k in keys], dtype="U1").reshape(len(keys), len(RULES))
-    said = np.stack([marks == "+", marks == "-"]).astype(float)  # vote, pattern, rule
-    share = 0.9
-    rates = np.stack([np.stack([np.full(len(RULES), 0.6), np.full(len(RULES), 0.02)]), np.stack([np.full(len(RULES), 0.3), np.full(len(RULES), 0.3)])])
-    post = np.ones(len(keys))
+    marks = np.array([list(k) for k in keys], dtype="U1").reshape(len(keys), rules)
+    bad, good, none = (marks == v for v in "-+0")
+    b, g = (np.repeat(x[:, None], rules, 1) for x in (PRIOR_B, PRIOR_G))
+    share, post, history, bound = 0.9, np.ones(len(keys)), [], False
     for _ in range(rounds if keys else 0):
-        like = [math.log(p) + sum(said[v] @ np.log(rates[c, v]) for v in (0, 1)) for c, p in ((0, share), (1, 1 - share))]
+        like = [math.log(p) + bad @ np.log(b[c]) + good @ np.log((1 - b[c]) * g[c]) + none @ np.log((1 - b[c]) * (1 - g[c])) for c, p in ((0, share), (1, 1 - share))]
         post = 1 / (1 + np.exp(np.clip(like[1] - like[0], -700, 700)))
-        share = min(max((n @ post + 1) / (n.sum() + 2), 0.5), 1 - 1e-9)
-        new = np.array([[(w @ said[v] + 1) / (w.sum() + 3) for v in (0, 1)] for w in (n * post, n * (1 - post))])
-        pooled = np.array([(n @ said[v] + 1) / (n.sum() + 3) for v in (0, 1)])
-        wrong = np.stack([new[0, 0] < new[1, 0], new[0, 1] > new[1, 1]])
-        new = np.where(wrong, pooled, new)
-        done, rates = np.abs(new - rates).max() < 1e-12, new
-        if done:
+        prior = PRIOR * sum((PRIOR_B[c] * np.log(b[c]) + (1 - PRIOR_B[c]) * (np.log(1 - b[c]) + PRIOR_G[c] * np.log(g[c]) + (1 - PRIOR_G[c]) * np.log(1 - g[c]))).sum() for c in (0, 1))
+        history.append(float(n @ np.logaddexp(*like) + prior + PRIOR * (math.log(share) + math.log(1 - share))))
+        if len(history) > 1 and history[-1] - history[-2] < 1e-9 * abs(history[-1]) and len(history) > 20:
             break
-    return share, rates, {k: round(float(x), 9) for k, x in zip(keys, post, strict=True)}
-
-
-def fit(votes: DataFrame) -> dict[str, float]:
-    """Posterior of every pattern of ``votes``."""
+        w = np.stack([n * post, n * (1 - post)])
+        share = (w[0].sum() + PRIOR) / (n.sum() + 2 * PRIOR)
+        if bound := least_share is not None and share < least_share:
+            share = least_share
+        of_b, all_b = w @ bad + PRIOR * PRIOR_B[:, None], w.sum(1, keepdims=True) + PRIOR
+        of_g, all_g = w @ good + PRIOR * ((1 - PRIOR_B) * PRIOR_G)[:, None], w @ ~bad + PRIOR * (1 - PRIOR_B)[:, None]
+        b, g = of_b / all_b, of_g / all_g
+        b = np.where(b[0] > b[1], of_b.sum(0) / all_b.sum(), b)
+        g = np.where(g[0] < g[1], of_g.sum(0) / all_g.sum(0), g)
+    return Fit(float(share), b, g, {k: round(float(x), 9) for k, x in zip(keys, post, strict=True)}, history, bound)
+
+
+def fit(votes: DataFrame, least_share: float | None = None) -> Fit:
+    """Of all rows of ``votes``."""
     counted = votes.groupBy("votes").count().collect()  # 3 ** len(RULES) rows at most
-    return estimate({r["votes"]: r["count"] for r in counted})[2]
+    return estimate({r["votes"]: r["count"] for r in counted}, least_share=least_share)
 
 
 def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def judge(measured: DataFrame) -> DataFrame:
+def judge(measured: DataFrame, least_share: float | None = None) -> DataFrame:
     """Add base_failed, kept and posterior to a table made by ``measures``. ``measured`` is read twice."""
-    posterior = fit(measured)
-    table = F.create_map(*[F.lit(x) for kv in sorted(posterior.items()) for x in kv]) if posterior else F.create_map(F.lit(""), F.lit(0.0))
-    return measured.withColumn("base_failed", base_failed()).withColumn("posterior", table[F.col("votes")]).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= MIN_POSTERIOR))
+    posterior = fit(measured, least_share).posterior
+    table = measured.sparkSession.createDataFrame(sorted(posterior.items()), "votes string, posterior double")
+    rows = measured.join(F.broadcast(table), "votes")  # 3 ** len(RULES) rows at most
+    return rows.select(*measured.columns, base_failed().alias("base_failed"), "posterior", (~base_failed() & (F.col("posterior") >= MIN_POSTERIOR)).alias("kept"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, least_share: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose document is kept. Texts are measured twice, which costs
     less than carrying them through a join."""
-    posterior = fit(measures(docs))
+    posterior = fit(measures(docs), least_share).posterior
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
