@@ -1,4 +1,5 @@
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -72,5 +73,11 @@ def test_query_columns(awkward, nothing, monkeypatch):
         image = media.decode(media.encode_ppm(data)).mean(axis=2, keepdims=True)
         assert small.shape == (8, 9) and (len(data) > 40_000 or np.allclose(small, plain_resize(image, 8, 9)[:, :, 0], atol=1e-3))
     assert media.features(media.store(nothing), folder).count() == 0
+    monkeypatch.setattr(media, "SLICE", 1)
+    images = {repr(r) for r in media.store(awkward).collect()}
+    monkeypatch.undo()
+    assert images == {repr(r) for r in media.store(awkward).collect()}
+    found = media.features(media.store(awkward), other := storage.shared_dir(awkward.sparkSession, "tiles"))
+    assert found.count() == found.count() and {f"{other}/{r['tile_file']}" for r in found.collect()} == {f"{other}/{f}" for f in os.listdir(other.removeprefix("file://"))}
     broken = awkward.sparkSession.createDataFrame([(1, 2, b"junk"), (2, None, None)], "doc_id long, n_bytes long, media binary")
     assert {r["doc_id"]: (r["feature"], r["tile_file"]) for r in media.features(broken, folder).collect()} == {1: (None, None), 2: (None, None)}

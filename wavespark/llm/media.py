@@ -29,8 +29,9 @@ from wavespark.llm import storage
 #: bytes in a row of a stored image: 64 pixels of 3 samples
 ROW = 192
 TILE = (8, 9)
-#: tiles in a NPY file at most
+#: tiles in a NPY file at most; bytes of text that a task stores at once, about
 STACK = 1 << 16
+SLICE = 1 << 24
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -151,11 +152,20 @@ def store(docs: DataFrame, encode=encode_ppm) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                texts = b.column(1).slice(i, 256).to_pylist()
-                data = [payload(x) for x in texts]
-                n = [len((x or "").encode()) for x in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256), pa.array(n, pa.int64()), pa.array([encode(x) for x in data], pa.binary())], ["doc_id", "n_bytes", "media"])
+            first, n, data, held = 0, [], [], 0
+
+            def rows(end: int) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n_bytes", "media"])  # noqa: B023
+
+            for k, x in enumerate(b.column(1)):
+                raw = x.as_py() or ""
+                n.append(len(raw.encode()))
+                data.append(encode(payload(raw)))
+                held += len(data[-1])
+                if held >= SLICE:
+                    yield rows(k + 1)
+                    first, n, data, held = k + 1, [], [], 0
+            yield rows(b.num_rows)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
@@ -163,7 +173,11 @@ def store(docs: DataFrame, encode=encode_ppm) -> DataFrame:
 
 def features(media: DataFrame, folder: str) -> DataFrame:
     """Read every stored image: digests of its samples and of its stored form, and its difference hash. Grey tiles go
-    to NPY files in ``folder``, stacked; tile_file and tile_row say where, null for media that can't be read."""
+    to NPY files in ``folder``, stacked; tile_file and tile_row say where, null for media that can't be read.
+
+    The result is a table that is written here and now: so tiles are written once, however often it is read. Files
+    are named by partition and get their name when whole; a second attempt at a task replaces them by equal ones."""
+    call = uuid.uuid4().hex
 
     def one(m: bytes | None) -> tuple:
         if m is None:
@@ -182,7 +196,7 @@ def features(media: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles: list[np.ndarray] = []
-        own = f"tiles-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        own = f"tiles-{call}-{TaskContext.get().partitionId():06d}"
         count = 0
 
         def flush() -> None:
@@ -208,4 +222,5 @@ def features(media: DataFrame, folder: str) -> DataFrame:
         flush()
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_file string, tile_row int")
+    rows = media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_file string, tile_row int")
+    return storage.table(rows, "features")
