@@ -46,6 +46,8 @@ def test_cache_is_bounded(monkeypatch):
     enc = tokens.Encoder(PATH)
     text = " ".join(f"word{k % 37}" for k in range(300))
     assert enc.encode(text) == enc.whole(text) and len(enc.pieces) + len(enc.pieces.old) <= 21
+    text = "x" * 5000 + " " + "y" * 10
+    assert enc.encode(text) == enc.whole(text) and max(map(len, enc.pieces)) <= tokens.LONG
 
 
 @pytest.mark.parametrize("bits", [16, 17])
@@ -66,6 +68,16 @@ def test_files(spark, monkeypatch, bits):
     assert storage.read_bytes(uri)[:8] == tokens.MAGIC
 
 
+def test_many_rows_of_one_id(spark, monkeypatch):
+    """They span files, and those don't fall apart: equal rows count one by one."""
+    monkeypatch.setattr(tokens, "FILE", 50)
+    docs = spark.createDataFrame([(None, f"text number {k % 3}") for k in range(300)] + [(1, "x")], "doc_id long, text string").repartition(3)
+    files = tokens.write(docs, PATH, storage.shared_dir(spark, "ids"))
+    found = sorted(tokens.read(spark, files).collect(), key=lambda r: r["start"])
+    assert len(files) > 8 and len(found) == 301 and found[-1]["doc_id"] == 1
+    assert [r["start"] for r in found] == [sum(x["n_tokens"] for x in found[:k]) for k in range(301)]
+
+
 def test_query(spark, data, awkward, nothing):
     enc = tokens.encoder(PATH)
     for docs in (spark.read.parquet(f"{data}/documents.parquet"), awkward, nothing):

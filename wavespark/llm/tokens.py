@@ -7,8 +7,11 @@ id is found by arithmetic and one short read, and a block is unpacked by numpy i
 File: ``WSIDS001``, then blocks, then the footer (bits, ids per block, number of ids and documents as int64; block
 offsets; doc ids; a byte for each null doc id; end of each document in ids), then the footer's size as int64.
 
+Texts are encoded where they are read; only ids, two or four bytes each, are sorted. Ranges of doc_id follow the
+counted ids, and a doc_id with many rows may span several.
+
 Defined results: a null text is an empty text and has the end id alone. Null doc ids come first; rows with equal
-doc ids stay neighbours, ordered by text. Extra columns are ignored. An empty table gives an empty table. Texts
+doc ids stay neighbours, ordered by their first ids. Extra columns are ignored. An empty table gives an empty table. Texts
 are never cut.
 """
 
@@ -19,7 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,10 @@ from wavespark.llm import storage
 MAGIC = b"WSIDS001"
 BLOCK = 1 << 16
 END = 0
-#: pieces of text that a worker remembers, twice over
-CACHE = 700_000
+#: pieces of text that a worker remembers, twice over, and characters in one at most: so the memory is bounded, too
+CACHE, LONG = 700_000, 48
+#: ids in a file, about; there are at least as many files as shuffle partitions. Documents read at once
+FILE, ROWS = 1 << 27, 1 << 13
 
 
 def bits_for(vocabulary: int) -> int:
@@ -67,6 +72,8 @@ class _Pieces(dict):
         found = self.old.pop(piece, None)
         if found is None:
             found = self.encode(piece)
+            if len(piece) > LONG:
+                return found
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
@@ -223,17 +230,39 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> list[tuple[str, int,
     """Encode every document into files by ascending doc_id. Gives uri, start and number of ids of each file; that
     list has an entry for each partition, not for each document."""
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        kind = "<u2" if bits_for(enc.vocabulary()) <= 16 else "<u4"
+        for b in batches:
+            ids, first, held = [], 0, 0
+
+            def rows(end: int) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(map(len, ids), pa.int64())], ["doc_id", "ids", "n"])  # noqa: B023
+
+            for k, text in enumerate(b.column(1)):
+                ids.append(np.frombuffer(enc.encode(text.as_py()), "<u4").astype(kind))
+                held += len(ids[-1])
+                if held >= 1 << 22:
+                    yield rows(k + 1)
+                    ids, first, held = [], k + 1, 0
+            yield rows(b.num_rows)
+
+    encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary, n long").withColumn("row", F.monotonically_increasing_id())
+    encoded = storage.table(encoded, "encoded")
+    total = encoded.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // FILE, 1)
+    order = ["doc_id", F.substring("ids", 1, 16), F.xxhash64("ids"), "row"]
+    rows = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        bits, part = bits_for(encoder(tokenizer).vocabulary()), TaskContext.get().partitionId()
         uri = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.bin"
-        out, end = None, np.array([END], "<u4").tobytes()
+        out, end = None, np.array([END], np.uint32)
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out = out or Writer(uri, bits_for(enc.vocabulary()))
-                out.add(doc_id, np.frombuffer(enc.encode(text) + end, "<u4"))
+            for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                out = out or Writer(uri, bits)
+                out.add(doc_id, np.append(np.frombuffer(ids.as_py(), "<u2" if bits <= 16 else "<u4"), end).astype(np.uint32))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "n": pa.array([out.n], pa.int64())})
@@ -251,8 +280,9 @@ def read(spark, files: list[tuple[str, int, int]]) -> DataFrame:
         for b in batches:
             for k in b.column(0).to_pylist():
                 uri, base, _ = files[k]
-                rows = list(Reader(uri).documents())
-                ids, start, n, crc = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array([base + x for x in start], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                documents = Reader(uri).documents()
+                while rows := list(islice(documents, ROWS)):
+                    ids, start, n, crc = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array([base + x for x in start], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
