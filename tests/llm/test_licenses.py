@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from wavespark.llm import licenses
@@ -15,7 +17,7 @@ def test_differences():
     del words[20]
     wrapped = "\n".join(" ".join(words[k : k + 12]) for k in range(0, len(words), 12))
     ((_, name, _, share, found),) = licenses.scan(wrapped)
-    assert name == "MIT" and share > 0.7 and found == ["+cost", "-of", "-the"] or len(found) <= 4
+    assert name == "MIT" and share > 0.7 and found == ["+cost", "-of", "-the"]
 
 
 @pytest.mark.parametrize("text", ["a license to kill", "Licensed under the Apache License, Version 1.1.", "copyright law is long and rights are reserved", "", "the MIT campus"])
@@ -48,6 +50,31 @@ def test_several_in_a_line(names):
         assert [r[1] for r in found] == list(order) and [r[0] for r in found] == sorted(r[0] for r in found)
 
 
+def test_recall_at_random_places():
+    """Notices with a few changed words, anywhere in one-line prose: found at their places, and nothing else is."""
+    rng = random.Random(5)
+    prose = "the quick report of spring says that free public works need a fair share of time and of good software for all who read".split()
+    names = [k for k in licenses.TEMPLATES if k != "Proprietary"]
+    want = hits = extra = 0
+    for _ in range(60):
+        parts, there = [], []
+        for _ in range(rng.randrange(1, 5)):
+            parts += rng.choices(prose, k=rng.randrange(3, 400))
+            name = rng.choice(names)
+            own = licenses.TEMPLATES[name].split()
+            for k in rng.sample(range(len(own)), len(own) // 30):
+                if not licenses._needed((licenses.words(own[k]) or ["mit"])[0]):
+                    own[k] = rng.choice(prose)
+            there.append((len(" ".join(parts)) + 1, name))
+            parts += own
+        text = " ".join([*parts, *rng.choices(prose, k=30)])
+        found = [(r[0], r[1]) for r in licenses.scan(text)]
+        want += len(there)
+        hits += sum(any(n == name and abs(at - a) <= 40 for a, n in found) for at, name in there)
+        extra += len(found) - len(there)
+    assert hits >= 0.99 * want and extra <= 0.01 * want, (hits, want, extra)
+
+
 def test_alignment_is_least():
     """Against all spans of the block and a plain edit distance."""
 
@@ -59,8 +86,6 @@ def test_alignment_is_least():
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (0 if x == y else 2)))
         return row[-1]
 
-    import random
-
     rng = random.Random(2)
     for _ in range(60):
         t = [rng.choice("abcd") for _ in range(rng.randrange(1, 7))]

@@ -4,11 +4,16 @@ A candidate block surrounds a word that licences use: by the length of the longe
 that after it, so that it settles all notices that begin up to a template's length behind the word. It is compressed alone and with each template as raw zstandard dictionary: what a template saves tells how much of the
 block it explains. Templates are ranked by bytes saved, and the best whose wording really is there wins: an
 alignment of words lists what is missing, added or changed. A tenth of a template's words may differ, but not those
-with digits (versions), nor may its key words be missing.
+with digits (versions), nor may its key words be missing. A template that saves less than LEAST of what it saves on itself
+isn't aligned, unless all its key words are there: with a tenth of the words changed it still saves more.
 
 Defined results: texts that are null, empty or without licence words have no rows. A text with several notices has
 a row for each: what lies before and after a confirmed notice is searched on. Repeated rows are scanned one by one. Extra
-columns are ignored. An empty table gives an empty table. Texts of any length are scanned whole.
+columns are ignored. An empty table gives an empty table. Texts of any length are scanned whole. Of templates that save
+equally the first of TEMPLATES wins.
+
+TEMPLATES are notices as files carry them, and the opening terms of short licences; whole texts of long licences count by
+the notices in them.
 """
 
 from __future__ import annotations
@@ -48,6 +53,18 @@ the GNU General Public License for more details.""",
     "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or
 (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
 the GNU General Public License for more details.""",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the
+License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU Affero General Public License for more details.""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to
+anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
     "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above
 copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
@@ -70,12 +87,13 @@ compiled binary, for any purpose, commercial or non-commercial, and by any means
     "CC0-1.0 notice": "Released under CC0 1.0.",
     "Proprietary": "Copyright <> All rights reserved.",
 }
-TRIGGER = r"licen[cs]e|copyright|spdx|hereby granted|permission to use|redistribution and use|free software|source code form|unencumbered|public domain|creative commons|cc by|cc0|all rights reserved"
+TRIGGER = r"licen[cs]e|copyright|spdx|hereby granted|permission to use|redistribution and use|free software|source code form|unencumbered|public domain|creative commons|cc by|cc0|permission is granted|express or implied|all rights reserved"
 _TRIGGER = re.compile(TRIGGER, re.I)
 _WORD = re.compile(r"<>|[^\W_]+(?:[.'-][^\W_]+)*")
 #: words that a notice can't do without, beside those with digits
-_KEY = frozenset("mit apache gnu gpl mozilla mpl isc bsd by by-sa by-nc by-nd attribution attribution-sharealike cc cc0 spdx-license-identifier redistribution unencumbered reserved lesser affero neither".split())
+_KEY = frozenset("mit apache gnu gpl mozilla mpl isc bsd by by-sa by-nc by-nd attribution attribution-sharealike cc cc0 spdx-license-identifier redistribution unencumbered reserved lesser affero eclipse neither".split())
 DIFFERENT = 0.1
+LEAST = 0.3
 
 
 def words(text: str) -> list[str]:
@@ -140,7 +158,7 @@ def align(template: list[str], block: list[str]) -> tuple[int, int, list[str]]:
             i -= 1
         elif j and block[j - 1] == w and rows[i - 1][j - 1] == cost:
             i, j = i - 1, j - 1
-        elif rows[i - 1][j] + 1 == cost:
+        elif rows[i - 1][j] + 1 == cost and not (_needed(w) and j and rows[i][j - 1] + 1 == cost):  # of equal ways, one that has the key word
             out.append(f"-{w}")
             i -= 1
         else:
@@ -162,7 +180,7 @@ def _best(own: list[str]) -> tuple[int, int, list[str], Template, int] | None:
     alone, there = len(_alone().compress(block)), set(own)
     for saved, _, t in sorted(((t.saves(block, alone), k, t) for k, t in enumerate(templates())), key=lambda x: (-x[0], x[1])):
         # what a short notice saves can drown in a long block; then its key words tell
-        if saved >= 0.3 * t.most or t.needs and t.needs <= there:
+        if saved >= LEAST * t.most or t.needs and t.needs <= there:
             a, b, differences = align(t.words, own)
             if a < b and confirmed(t.words, differences):
                 return a, b, differences, t, saved
