@@ -371,9 +371,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs`` that stay if one row of each class does, that with the least doc_id; all columns."""
+    """The rows of ``docs`` that stay if one row of each class does, that with the least doc_id; all columns. Of
+    rows of a class with that doc_id, the one with the least hash of its shingles, then of the row, stays."""
     _, variants = classes(docs, threshold, recall, count_links=False)
-    stay = variants.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("vid").alias("__vid"), F.col("doc_id").alias("__doc"), F.col("root").alias("__class"))
+    stay = variants.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("vid").alias("__vid"), F.any_value("class_id").alias("__doc"))
     rows = _with_vid(docs, docs.columns)
-    first = rows.join(stay, "__vid").filter(F.col("doc_id").eqNullSafe(F.col("__doc"))).dropDuplicates(["__class"])
-    return first.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rows.filter("__vid is null").drop("__vid"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    first = rows.join(stay, "__vid").filter(F.col("doc_id").eqNullSafe(F.col("__doc"))).groupBy("root").agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("__row"))
+    return first.select("__row.*").unionByName(rows.filter("__vid is null").drop("__vid"))

@@ -15,8 +15,11 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """URI of a new folder under the session's shared folder; a folder of our own only where none is set."""
+    """URI of a new folder under the session's shared folder. Where none is set, a folder of our own, if all workers
+    are on this machine; on a cluster that is an error."""
     base = spark.sparkContext.getConf().get(KEY) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{KEY} must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="wavespark-")
         spark.sparkContext.setCheckpointDir(base)
