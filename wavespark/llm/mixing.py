@@ -96,7 +96,7 @@ class Mix:
         self.order = sorted(found, key=lambda s: (s is None, s or ""))
         self.sizes = {s: n for s, (n, _) in found.items()}
         most = max((n for _, n in found.values()), default=0)
-        self.digits = max(1, math.ceil(math.log(max(most / BUCKET, 1), 16)) + 1)
+        self.digits = max(3, math.ceil(math.log(max(most / BUCKET, 1), 16)) + 1)
         self.targets = targets(self.sizes, weights(list(found)))
         self.total = sum(self.sizes.values())
         self.take = {s: math.floor(self.targets[s] + 0.5) for s in self.order}

@@ -7,11 +7,11 @@ id is found by arithmetic and one short read, and a block is unpacked by numpy i
 File: ``WSIDS001``, then blocks, then the footer (bits, ids per block, number of ids and documents as int64; block
 offsets; doc ids; a byte for each null doc id; end of each document in ids), then the footer's size as int64.
 
-Texts are encoded where they are read; only ids, two or four bytes each, are sorted. Ranges of doc_id follow the
-counted ids, and a doc_id with many rows may span several.
+Ranges are found on narrow rows (doc_id, the text's first characters and hash, a number); then texts are encoded where
+they are read, and only ids, compressed, are shuffled, once. A doc_id with many rows may span several ranges.
 
 Defined results: a null text is an empty text and has the end id alone. Null doc ids come first; rows with equal
-doc ids stay neighbours, ordered by their first ids. Extra columns are ignored. An empty table gives an empty table. Texts
+doc ids stay neighbours, ordered by their texts' first characters. Extra columns are ignored. An empty table gives an empty table. Texts
 are never cut.
 """
 
@@ -21,11 +21,13 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +39,8 @@ BLOCK = 1 << 16
 END = 0
 #: pieces of text that a worker remembers, twice over, and characters in one at most: so the memory is bounded, too
 CACHE, LONG = 700_000, 48
-#: ids in a file, about; there are at least as many files as shuffle partitions. Documents read at once
-FILE, ROWS = 1 << 27, 1 << 13
+#: bytes of text that make a file, about; there are at least as many files as shuffle partitions. Documents read at once
+FILE, ROWS = 1 << 29, 1 << 13
 
 
 def bits_for(vocabulary: int) -> int:
@@ -230,39 +232,46 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> list[tuple[str, int,
     """Encode every document into files by ascending doc_id. Gives uri, start and number of ids of each file; that
     list has an entry for each partition, not for each document."""
     spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    # equal rows may change places: their numbers only spread them
+    keyed = docs.select(F.col("doc_id").cast("long"), F.substring(text, 1, 16).alias("p"), F.xxhash64(text).alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), "text")
+    narrow = storage.table(keyed.select("doc_id", "p", "h", "salt", F.octet_length(text).alias("n")), "keys")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (narrow.agg(F.sum("n")).first()[0] or 0) // FILE, 1)
+    key = ["doc_id", "p", "h", "salt"]
+    ranges = narrow.repartitionByRange(parts, *key).groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct(F.col("doc_id").isNotNull(), *key)).alias("k"))
+    bounds = sorted((known, doc_id or 0, p.encode(), h, salt) for known, doc_id, p, h, salt in (r["k"] for r in ranges.collect()))  # one for each part
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc, packer = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         kind = "<u2" if bits_for(enc.vocabulary()) <= 16 else "<u4"
         for b in batches:
+            keys = zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+            part = pa.array([bisect_left(bounds, (d is not None, d or 0, p.encode(), h, salt)) for d, p, h, salt in keys], pa.int32())
             ids, first, held = [], 0, 0
 
             def rows(end: int) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(map(len, ids), pa.int64())], ["doc_id", "ids", "n"])  # noqa: B023
+                return pa.RecordBatch.from_arrays([x.slice(first, end - first) for x in (*b.columns[:4], part)] + [pa.array(ids, pa.binary())], [*key, "part", "ids"])  # noqa: B023
 
-            for k, text in enumerate(b.column(1)):
-                ids.append(np.frombuffer(enc.encode(text.as_py()), "<u4").astype(kind))
+            for k, x in enumerate(b.column(4)):
+                ids.append(packer.compress(np.frombuffer(enc.encode(x.as_py()), "<u4").astype(kind).tobytes()))
                 held += len(ids[-1])
-                if held >= 1 << 22:
+                if held >= 1 << 23:
                     yield rows(k + 1)
                     ids, first, held = [], k + 1, 0
             yield rows(b.num_rows)
 
-    encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary, n long").withColumn("row", F.monotonically_increasing_id())
-    encoded = storage.table(encoded, "encoded")
-    total = encoded.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // FILE, 1)
-    order = ["doc_id", F.substring("ids", 1, 16), F.xxhash64("ids"), "row"]
-    rows = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
+    encoded = keyed.mapInArrow(encode, "doc_id long, p string, h long, salt long, part int, ids binary")
+    rows = encoded.repartitionById(parts, F.least("part", F.lit(parts - 1))).sortWithinPartitions(*key).select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, part = bits_for(encoder(tokenizer).vocabulary()), TaskContext.get().partitionId()
         uri = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.bin"
-        out, end = None, np.array([END], np.uint32)
+        out, end, unpacker = None, np.array([END], np.uint32), zstandard.ZstdDecompressor()
         for b in batches:
             for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 out = out or Writer(uri, bits)
-                out.add(doc_id, np.append(np.frombuffer(ids.as_py(), "<u2" if bits <= 16 else "<u4"), end).astype(np.uint32))
+                ids = np.frombuffer(unpacker.decompress(ids.as_py()), "<u2" if bits <= 16 else "<u4")
+                out.add(doc_id, np.append(ids, end).astype(np.uint32))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "n": pa.array([out.n], pa.int64())})
