@@ -47,6 +47,12 @@ def test_requests(engine):
     engine.query("set_cursor", {"t": "BM_b"})
     assert engine.query("get_value_at_time", {"path": "top.flag", "t": "Cursor"})["data"] == "rising"
     assert engine.query("move_cursor", {"by": -500})["data"] == 0 and list(engine.query("list_bookmarks")["data"]) == ["b"]
+    assert engine.query("count_transitions", {"path": "top.clk", "start": 0, "end": 30, "boundary": "half"})["status"] == "error"
+    assert engine.query("create_session", {"name": "second"})["data"]["cursor_time"] == 0 and engine.query("list_bookmarks")["data"] == {}
+    assert [s["session_name"] for s in engine.query("list_sessions")["data"]["sessions"]] == ["Default_Session", "second"]
+    assert engine.query("switch_session", {"name": "Default_Session"})["data"]["session_name"] == "Default_Session" and list(engine.query("list_bookmarks")["data"]) == ["b"]
+    assert engine.query("get_session", {"name": "second"})["status"] == "success" and engine.query("delete_session", {"name": "second"})["data"]["deleted"] == "second"
+    assert engine.query("get_session", {"name": "second"})["status"] == "error" and engine.query("delete_session", {"name": "Default_Session"})["status"] == "error"
     engine.query("create_signal_group", {"name": "g", "signals": ["top.hit", "top.a"]})
     assert engine.query("get_snapshot", {"paths": ["g"], "t": 99, "groups": True})["data"] == {"top.hit": "1", "top.a": "1"}
     answer = engine.query("rank_cone_by_time", {"signal": "top.flag", "t": 100})
@@ -86,8 +92,9 @@ def test_sessions(tmp_path):
             time_of(other, bad)
     other = s.set_group(s.set_group(other, "g", ["a", "b", "a"]), "h", ["b", "c"])
     assert expand_groups(other, ["g", "h"]) == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        s.set_group(other, "g", [])
+    for name in ("g", " g "):
+        with pytest.raises(ValueError):
+            s.set_group(other, name, [])
     s.create("/v.vcd", "mine")
     s.activate("/w.vcd", "Default_Session")
     with pytest.raises(ValueError, match="ambiguous"):

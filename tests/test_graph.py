@@ -117,7 +117,10 @@ def test_round_trip(spark, design, tmp_path):
     spans = spark.createDataFrame([(1, str(source), 3, 15)], "ep_id long, file string, a_start int, a_end int")
     assert graphs.source_slices(spark, spans).first()["assignment"] == "assign x = y"
     manifest = str(tmp_path / "meta")
-    assert not graphs.up_to_date(manifest, [str(source)], ["-top"]) and graphs.up_to_date(manifest, [str(source)], ["-top"]) and not graphs.up_to_date(manifest, [str(source)], ["-other"])
+    own = graphs.fingerprint([str(source)], ["-top"])
+    assert not graphs.up_to_date(manifest, [str(source)], ["-top"]) and not graphs.up_to_date(manifest, [str(source)], ["-top"])  # a build that failed is done again
+    graphs.note_made(manifest, own)
+    assert graphs.up_to_date(manifest, [str(source)], ["-top"]) and not graphs.up_to_date(manifest, [str(source)], ["-other"])
 
 
 def summary(spark, changes, t=100, start=0, end=200, mode="drivers"):
@@ -142,4 +145,7 @@ def test_mapping(spark):
     exact = {r["path"]: r["mapped"] for r in mapping.map_signals(asked, signals).collect()}
     assert exact == {"top.a": "top.a", "top.b": "TOP.top.b", "TOP.top.a": "top.a", "top.c": None, "no": None}
     assert {r["path"]: r["mapped"] for r in mapping.map_signals(asked, signals, by_base=True).collect()}["top.c"] == "top.c[3:0]"
+    assert [r["signal"] for r in mapping.unmapped(asked, signals, by_base=True).collect()] == ["no"]
+    bits = spark.createDataFrame([("TOP.top.c",), ("top.c[1]",), ("top.m[2][3:0]",)], "path string")
+    assert {r["path"]: r["mapped"] for r in mapping.map_signals(bits, signals.unionByName(spark.createDataFrame([("top.m[7:0]",)], "path string")), by_base=True).collect()} == {"TOP.top.c": "top.c[3:0]", "top.c[1]": "top.c[3:0]", "top.m[2][3:0]": "top.m[7:0]"}
     assert sorted(r["signal"] for r in mapping.unmapped(asked, signals).collect()) == ["no", "top.c"]

@@ -46,7 +46,7 @@ def test_entry_imports_without_llm(monkeypatch):
 
     def no_llm(name, *a, **b):
         if name == "corpus_pipeline" or name.startswith("wavespark.llm"):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name.removesuffix(".queries"))
         return real(name, *a, **b)
 
     monkeypatch.setattr(builtins, "__import__", no_llm)

@@ -3,12 +3,15 @@ derived signals may stand wherever recorded ones do."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavespark.functions import values
 from wavespark.model import RANK_AFTER
 from wavespark.operators import catalog, graph, mapping, overview, ranking, temporal
+from wavespark.operators.carry import log_ticks
 from wavespark.plans.derived import Derived, Registry
 from wavespark.session import Sessions, expand_groups, time_of
 from wavespark.sources import sinks
@@ -16,16 +19,22 @@ from wavespark.sources.waves import Wave, load_wave
 
 
 class Engine:
-    """``graph``: tables as in ``model.GRAPH``, for the structural and cross-link tools."""
+    """``graph``: tables as in ``model.GRAPH``, for the structural and cross-link tools. ``by_base``: may structural names
+    answer to waveform paths that are the same but for their bits."""
 
-    def __init__(self, spark: SparkSession, wave: Wave | str, sessions: Sessions, graph_tables: dict[str, DataFrame] | None = None, session: str | None = None):
-        self.spark, self.sessions, self.graph = spark, sessions, graph_tables
+    def __init__(self, spark: SparkSession, wave: Wave | str, sessions: Sessions, graph_tables: dict[str, DataFrame] | None = None, session: str | None = None, by_base: bool = False):
+        self.spark, self.sessions, self.graph, self.by_base = spark, sessions, graph_tables, by_base
         self.wave = load_wave(spark, wave) if isinstance(wave, str) else wave
         self.session = sessions.resolve(self.wave.path or "memory", session)
         self.derived = Registry(self.wave.widths(), {k: _stored(k, d) for k, d in self.session["created_signals"].items()})
 
     # --- helpers ---
 
+    @cached_property
+    def ticks(self) -> int | None:
+        """Chunks of the log, so that one hot signal of a long log isn't one task."""
+        return log_ticks(self.wave.transitions)
+
     def at(self, ref: int | str) -> int:
         return time_of(self.session, ref)
 
@@ -44,7 +53,7 @@ class Engine:
         """Transitions of one signal (with width) up to end, and its width. A derived one begins with a seed at start."""
         if path in self.derived.made:
             width = self.derived.get(path).width
-            return self.derived.log(self.wave.signals, self.wave.transitions, path, start, end).withColumn("width", F.lit(width)), width
+            return self.derived.log(self.wave.signals, self.wave.transitions, path, start, end, self.ticks).withColumn("width", F.lit(width)), width
         signal_id, width = self._id(path)
         return self.wave.transitions.filter(F.col("signal_id") == signal_id).withColumn("width", F.lit(width)), width
 
@@ -60,7 +69,7 @@ class Engine:
     TOOLS = (
         "list_signals", "list_signals_page", "get_signal_info", "get_snapshot", "get_value_at_time", "find_edge", "find_condition", "find_value_intervals", "get_transitions", "count_transitions", "get_signal_overview", "analyze_pattern",
         "dump_waveform_data", "create_signal_expression", "update_signal_expression", "delete_signal_expression", "list_signal_expressions", "create_bus_concat", "create_bus_slice", "create_bus_slices", "create_reversed_bus",
-        "set_cursor", "move_cursor", "get_cursor", "create_bookmark", "delete_bookmark", "list_bookmarks", "create_signal_group", "update_signal_group", "delete_signal_group", "list_signal_groups",
+        "create_session", "list_sessions", "get_session", "switch_session", "delete_session", "set_cursor", "move_cursor", "get_cursor", "create_bookmark", "delete_bookmark", "list_bookmarks", "create_signal_group", "update_signal_group", "delete_signal_group", "list_signal_groups",
         "trace", "hier", "find", "whereis_instance", "rank_cone_by_time", "trace_with_snapshot", "explain_signal_at_time", "explain_edge_cause",
     )
 
@@ -73,6 +82,36 @@ class Engine:
         except Exception as e:
             return {"status": "error", "message": f"Query failed: {e}"}
 
+    # --- sessions ---
+
+    def _path(self) -> str:
+        return self.wave.path or "memory"
+
+    def _use(self, session: dict) -> dict:
+        self.session = session
+        self.derived = Registry(self.wave.widths(), {k: _stored(k, d) for k, d in session["created_signals"].items()})
+        return session
+
+    def create_session(self, name: str, description: str = "", switch: bool = True) -> dict:
+        made = self.sessions.create(self._path(), name, description, switch)
+        return self._use(made) if switch else made
+
+    def list_sessions(self) -> dict:
+        found, broken = self.sessions.listed(self._path())
+        return {"sessions": found, "active": self.sessions.active(), "unreadable": broken}
+
+    def get_session(self, name: str | None = None) -> dict:
+        return self.sessions.resolve(self._path(), name)
+
+    def switch_session(self, name: str) -> dict:
+        return self._use(self.sessions.activate(self._path(), name))
+
+    def delete_session(self, name: str) -> dict:
+        self.sessions.delete(self._path(), name)
+        if self.session["session_name"] == name:
+            self._use(self.sessions.resolve(self._path()))
+        return {"deleted": name, "session": self.session["session_name"]}
+
     # --- cursor, bookmarks, groups ---
 
     def set_cursor(self, t) -> int:
@@ -149,7 +188,7 @@ class Engine:
             log, _ = self.log(path, end, start if forward else 0)
         else:
             log, _ = self.log(path, 0)
-        found = self._one(temporal.find_edge(log, edge, start, forward), "t")
+        found = self._one(temporal.find_edge(log, edge, start, forward, self.ticks), "t")
         return -1 if found is None else found
 
     def find_condition(self, condition: str, start=0, direction: str = "forward") -> int:
@@ -163,7 +202,7 @@ class Engine:
     def find_value_intervals(self, path: str, value: str, start, end, radix: str = "hex") -> DataFrame:
         start, end = self.at(start), self.at(end)
         log, width = self.log(path, end, start)
-        return temporal.value_intervals(log, value, width, start, end, radix, merge=path in self.derived.made).orderBy("start")
+        return temporal.value_intervals(log, value, width, start, end, radix, merge=path in self.derived.made, ticks=self.ticks).orderBy("start")
 
     def get_transitions(self, path: str, start, end, limit: int = 50) -> DataFrame:
         start, end = self.at(start), self.at(end)
@@ -172,23 +211,25 @@ class Engine:
 
     def count_transitions(self, path: str, start, end, edge: str = "anyedge", boundary: str = "inclusive") -> dict:
         start, end = self.at(start), self.at(end)
+        if boundary.strip().lower() not in ("inclusive", "exclusive"):
+            raise ValueError(f"boundary is inclusive or exclusive, not {boundary!r}")
         log, _ = self.log(path, end, max(0, start - 1))
-        count = temporal.count_edges_from if boundary == "exclusive" else temporal.count_edges
-        row = count(log, start, end, edge).first()
+        count = temporal.count_edges_from if boundary.strip().lower() == "exclusive" else temporal.count_edges
+        row = count(log, start, end, edge, self.ticks).first()
         return {"count": row["count"], "mode": row["mode"]} if row else {"count": 0, "mode": values.edge_name(edge)}
 
     def get_signal_overview(self, path: str, start, end, resolution: int | str = "auto", radix: str = "hex") -> DataFrame:
         start, end = self.at(start), self.at(end)
         log, _ = self.log(path, end, start)
         if str(resolution) == "auto":
-            return overview.auto_overview(log, start, end, radix).orderBy("start")
+            return overview.auto_overview(log, start, end, radix, self.ticks).orderBy("start")
         if int(resolution) <= 0:
             raise ValueError("resolution must be positive")
-        return overview.overview(log, start, end, int(resolution), radix, merge=path not in self.derived.made).orderBy("start")
+        return overview.overview(log, start, end, int(resolution), radix, self.ticks, merge=path not in self.derived.made).orderBy("start")
 
     def analyze_pattern(self, path: str) -> str:
         log, _ = self.log(path, self._last())
-        found = self._one(temporal.pattern(log), "text")
+        found = self._one(temporal.pattern(log, self.ticks), "text")
         return found if found else "Static signal."
 
     def dump_waveform_data(self, paths: list[str], start, end, output: str, mode: str = "transitions", sample_period: int | None = None, radix: str = "hex", overwrite: bool = False) -> dict:
@@ -247,7 +288,7 @@ class Engine:
         start, end = ranking.window(t, before, after, default_after)
         cone = sorted({found.target} | {p for e in found.endpoints for p in (e["path"], *e["lhs"], *e["rhs"]) if p})
         names = self.spark.createDataFrame([(p,) for p in cone], "path string")
-        mapped = mapping.map_signals(names, self.wave.signals)
+        mapped = mapping.map_signals(names, self.wave.signals, self.by_base)
         ids = mapped.join(self.wave.signals.select(F.col("path").alias("mapped"), "signal_id", "width"), "mapped").select(F.col("path").alias("signal"), "mapped", "signal_id", "width")
         log = self.wave.transitions.filter(F.col("t") <= end).join(ids.select("signal_id", "width").distinct(), "signal_id")
         scores = ids.drop("width").join(ranking.summaries(log, t, start, end, mode), "signal_id").drop("signal_id")
@@ -255,7 +296,7 @@ class Engine:
 
     def rank_cone_by_time(self, signal: str, t, mode: str = "drivers", before: int | None = None, after: int | None = None, **options) -> dict:
         found, names, scores, window = self._context(signal, self.at(t), mode, before, after, RANK_AFTER, options)
-        return {"trace": found, "window": window, "unmapped": mapping.unmapped(names, self.wave.signals)} | ranking.rankings(scores, "signal")
+        return {"trace": found, "window": window, "unmapped": mapping.unmapped(names, self.wave.signals, self.by_base)} | ranking.rankings(scores, "signal")
 
     def trace_with_snapshot(self, signal: str, t, mode: str = "drivers", offsets: list[int] | None = None, clock: str | None = None, cycles: list[int] | None = None, before: int | None = None, after: int | None = None, **options) -> dict:
         """With values at absolute offsets from t, and at rising clock edges counted from t."""
@@ -265,14 +306,14 @@ class Engine:
         warnings = []
         if clock and cycles:
             log, _ = self.log(clock, self._last())
-            for r in temporal.step_clock(log, t, cycles).collect():
+            for r in temporal.step_clock(log, t, cycles, self.ticks).collect():
                 if r["t"] is None:
                     warnings.append(f"no clock edge at cycle {r['offset']}")
                 else:
                     times[f"cycle {r['offset']}"] = r["t"]
-        paths = [r["mapped"] for r in mapping.map_signals(names, self.wave.signals).filter("mapped is not null").collect()]
+        paths = [r["mapped"] for r in mapping.map_signals(names, self.wave.signals, self.by_base).filter("mapped is not null").collect()]
         samples = {k: self.get_snapshot(paths, at) for k, at in times.items()}
-        return {"trace": found, "window": window, "samples": samples, "warnings": warnings, "unmapped": mapping.unmapped(names, self.wave.signals)} | ranking.rankings(scores, "signal")
+        return {"trace": found, "window": window, "samples": samples, "warnings": warnings, "unmapped": mapping.unmapped(names, self.wave.signals, self.by_base)} | ranking.rankings(scores, "signal")
 
     def explain_signal_at_time(self, signal: str, t, mode: str = "drivers", before: int | None = None, after: int | None = None, **options) -> dict:
         found, names, scores, window = self._context(signal, self.at(t), mode, before, after, 0, options)
@@ -280,11 +321,11 @@ class Engine:
         refs = [(k, "rhs", j, p) for k, e in enumerate(found.endpoints) for j, p in enumerate(e["rhs"])]
         ends = self.spark.createDataFrame(rows, "ep_id long, path string, assignment string")
         candidates = ranking.explanations(ends, self.spark.createDataFrame(refs, "ep_id long, side string, pos int, path string"), scores)
-        return {"trace": found, "window": window, "candidates": candidates, "unmapped": mapping.unmapped(names, self.wave.signals)}
+        return {"trace": found, "window": window, "candidates": candidates, "unmapped": mapping.unmapped(names, self.wave.signals, self.by_base)}
 
     def explain_edge_cause(self, signal: str, t, edge: str = "anyedge", direction: str = "backward", **options) -> dict:
         names = self.spark.createDataFrame([(signal,)], "path string")
-        mapped = self._one(mapping.map_signals(names, self.wave.signals), "mapped")
+        mapped = self._one(mapping.map_signals(names, self.wave.signals, self.by_base), "mapped")
         if not mapped:
             return {"error": "waveform-path-not-found", "signal": signal}
         at = self.find_edge(mapped, edge, t, direction)

@@ -22,8 +22,8 @@ def without_top(path: Column) -> Column:
 
 
 def base(path: Column) -> Column:
-    """Without a last bit suffix."""
-    return F.regexp_replace(path, r"\[[^\]]*\]$", "")
+    """Up to the first bracket."""
+    return F.substring_index(path, "[", 1)
 
 
 def ancestors(path: Column) -> Column:

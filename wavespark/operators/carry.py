@@ -20,13 +20,20 @@ def chunk_ticks(tr: DataFrame, chunks: int = CHUNKS) -> int:
     return max(1, ((hi or 0) - (lo or 0)) // chunks + 1)
 
 
+def log_ticks(tr: DataFrame, rows: int = 1 << 20) -> int | None:
+    """Ticks of a chunk for a log of more than ``rows`` records; None, for one window by signal, for smaller ones."""
+    return chunk_ticks(tr) if tr.count() > rows else None
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``; a folder of our own
-    only where none is set."""
+    """Cut a loop's lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``. Where none is set, in
+    a folder of our own, if all workers are on this machine; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
         import tempfile
 
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wavespark-"))
     return df.checkpoint()
 

@@ -121,14 +121,14 @@ def stats(graph: dict[str, DataFrame]) -> DataFrame:
 def cone(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """node, depth: all nodes within ``depth`` steps of the roots, at their least depth. edges (src, dst); each step
     joins only the newest nodes."""
-    seen = settle(roots.select(F.col("node"), F.lit(0).alias("depth")).distinct())
-    front = seen
+    edges = settle(edges.select("src", "dst"))
+    seen = front = settle(roots.select(F.col("node"), F.lit(0).alias("depth")).distinct())
     for k in range(1, depth + 1):
         found = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         front = settle(found.withColumn("depth", F.lit(k)))
         if front.isEmpty():
             break
-        seen = settle(seen.unionByName(front))
+        seen = seen.unionByName(front)  # each part is a file already
     return seen
 
 
@@ -148,6 +148,11 @@ def hierarchy(hier: DataFrame, root: str | None = None, depth: int = TRACE_DEPTH
     return kept.limit(max_nodes), stops
 
 
+def source_reason(node: dict) -> str | None:
+    """Why there is no source place for an instance's row."""
+    return None if node.get("file") else "no source metadata recorded for this instance definition"
+
+
 def whereis(graph: dict[str, DataFrame], instance: str) -> tuple[DataFrame, DataFrame]:
     """The instance's row and its parameters."""
     return graph["hier"].filter(F.col("path") == instance), graph["params"].filter(F.col("inst_path") == instance).orderBy("pos")

@@ -9,6 +9,10 @@ from pyspark.sql.window import Window as W
 from wavespark.functions import values
 from wavespark.model import OVERVIEW_SEGMENTS, UNSET
 from wavespark.operators.carry import carry, settle
+from wavespark.operators.temporal import seeded
+
+#: resolutions tried at once
+PROBES = 7
 
 _SEGMENT = ["start", "end", "state", "value", "transitions", "unique_values"]
 
@@ -60,19 +64,31 @@ def overview(tr: DataFrame, start: int, end: int, resolution, radix: str = "hex"
 def auto_resolution(tr: DataFrame, start: int, end: int, segments: int = OVERVIEW_SEGMENTS, ticks: int | None = None) -> DataFrame:
     """signal_id, resolution: the least from 1 to the window's span that leaves ``segments`` segments at most.
 
-    The count changes only at 1 and just above a gap between records, and never grows with the resolution; so a
-    binary search over 1 ... span by one pass for each bit answers for all signals at once."""
+    The count changes only at 1 and just above a gap between records, and never grows with the resolution. So the
+    gaps, found in one pass, are all that can be the answer; a search tries PROBES of them at once, and only signals whose
+    answer is still open go on."""
     span = max(1, end - start)
-    state = tr.select("signal_id").distinct().withColumns({"lo": F.lit(1).cast("long"), "hi": F.lit(span).cast("long")})
-    for _ in range(span.bit_length()):
-        probe = state.withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("long"))
-        n = overview(tr.join(probe.select("signal_id", "mid"), "signal_id"), start, end, "mid", ticks=ticks).groupBy("signal_id").agg(F.count("*").alias("n"))
-        good = F.col("n") <= segments
-        state = settle(probe.join(n, "signal_id").select("signal_id", F.when(good, F.col("lo")).otherwise(F.least(F.col("mid") + 1, F.col("hi"))).alias("lo"), F.when(good, F.col("mid")).otherwise(F.col("hi")).alias("hi")))
-    return state.select("signal_id", F.col("hi").alias("resolution"))
+    log = settle(seeded(tr.filter(F.col("t") <= end), start + 1).select("signal_id", "t", "seq", "v", "width"))
+    inside = carry(log.filter(F.col("t") > start), F.col("t"), "pt", ticks)
+    gaps = inside.filter("pt is not null").select("signal_id", F.least(F.col("t") - F.col("pt") + 1, F.lit(span)).alias("r"))
+    every = tr.select("signal_id").distinct()
+    options = gaps.filter("r > 1").unionByName(every.withColumn("r", F.lit(1).cast("long"))).unionByName(every.withColumn("r", F.lit(span).cast("long"))).distinct()
+    # options in order, numbered; at the last, span, there is nothing left to try
+    options = settle(options.withColumn("k", F.row_number().over(W.partitionBy("signal_id").orderBy("r"))))
+    state = settle(options.groupBy("signal_id").agg(F.lit(1).alias("lo"), F.max("k").alias("hi")))
+    while not (open_ := state.filter("lo < hi")).isEmpty():
+        steps = F.transform(F.sequence(F.lit(1), F.lit(PROBES)), lambda j: F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * j / (PROBES + 1)).cast("int"))
+        probe = open_.select("signal_id", F.explode(F.array_distinct(steps)).alias("k")).join(options, ["signal_id", "k"])
+        probe = probe.select("signal_id", "k", F.col("r").alias("__r"), F.concat_ws(":", "k", "signal_id").alias("each"))
+        shown = overview(log.join(probe, "signal_id").select(F.col("each").alias("signal_id"), "t", "seq", "v", "width", "__r"), start, end, "__r", ticks=ticks)
+        n = shown.groupBy(F.col("signal_id").alias("each")).agg(F.count("*").alias("n")).join(probe, "each")
+        best = n.groupBy("signal_id").agg(F.min(F.when(F.col("n") <= segments, F.col("k"))).alias("good"), F.max(F.when(F.col("n") > segments, F.col("k"))).alias("bad"))
+        left = state.join(best, "signal_id", "left")
+        state = settle(left.select("signal_id", F.least("hi", F.greatest(F.col("lo"), F.coalesce(F.col("bad") + 1, F.col("lo")))).alias("lo"), F.least("hi", F.coalesce("good", "hi")).alias("hi")))
+    return state.select("signal_id", F.col("hi").alias("k")).join(options, ["signal_id", "k"]).select("signal_id", F.col("r").alias("resolution"))
 
 
-def auto_overview(tr: DataFrame, start: int, end: int, radix: str = "hex") -> DataFrame:
+def auto_overview(tr: DataFrame, start: int, end: int, radix: str = "hex", ticks: int | None = None) -> DataFrame:
     """The overview at each signal's auto resolution."""
-    found = auto_resolution(tr, start, end)
-    return overview(tr.join(found, "signal_id"), start, end, "resolution", radix)
+    found = auto_resolution(tr, start, end, ticks=ticks)
+    return overview(tr.join(found, "signal_id"), start, end, "resolution", radix, ticks)

@@ -23,18 +23,16 @@ def summaries(tr: DataFrame, t: int, start: int, end: int, mode: str = "drivers"
     Records at start aren't toggles, but one at t counts as a change at t even there. The closest record is sought at
     or before t for drivers, at or after t for loads, and anywhere if there is none on that side.
     """
-    rows = tr.filter(F.col("t").between(start, end))
-    event = F.col("t") != start
+    inside = F.col("t").between(start, end)
+    event = inside & (F.col("t") != start)
     side = event & (F.col("t") >= t if mode == "loads" else F.col("t") <= t)
     near = F.struct(F.abs(F.col("t") - t), F.col("t"))
-    found = rows.groupBy("signal_id").agg(
-        F.count_if(event).alias("toggles"), F.max(F.when(event, F.col("t"))).alias("last_t"), F.max(F.col("t") == t).alias("changed"),
-        F.min(F.when(side, near)).alias("own"), F.min(F.when(event, near)).alias("any"),
+    shown = {"value": t, "start_value": start, "end_value": end}
+    out = tr.groupBy("signal_id").agg(
+        F.first("width").alias("width"), F.count_if(event).alias("toggles"), F.max(F.when(event, F.col("t"))).alias("last_t"), F.max(inside & (F.col("t") == t)).alias("changed"),
+        F.min(F.when(side, near)).alias("own"), F.min(F.when(event, near)).alias("any"), *(a for name, at in shown.items() for a in temporal.around(at, name)),
     )
-    every = tr.groupBy("signal_id").agg(F.first("width").alias("width"))
-    out = every.join(found, "signal_id", "left").withColumns({"toggles": F.coalesce("toggles", F.lit(0)), "changed": F.coalesce("changed", F.lit(False)), "preferred": F.col("own").isNotNull(), "closest": F.coalesce("own", "any")})
-    for name, at in (("value", t), ("start_value", start), ("end_value", end)):
-        out = out.join(temporal.shown_at(tr, at, radix).withColumnRenamed("value", name), "signal_id", "left")
+    out = out.withColumns({"preferred": F.col("own").isNotNull(), "closest": F.coalesce("own", "any")} | {name: temporal.shown_around(name, radix) for name in shown})
     closest = F.col("closest").getField("t")
     distance = F.abs(closest - t)
     constant = (F.col("toggles") == 0) & F.col("start_value").eqNullSafe(F.col("end_value"))

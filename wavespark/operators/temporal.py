@@ -50,20 +50,30 @@ def sample(tr: DataFrame, start: int, end: int, period: int, ticks: int | None =
 def shown_at(tr: DataFrame, t: int, radix: str = "hex") -> DataFrame:
     """signal_id, value: display value at t. A scalar with a record exactly at t that goes from 0 to 1 (1 to 0) is
     ``rising`` (``falling``); a vector whose value differs from that at t - 1 is ``changing``."""
-    both = tr.filter(F.col("t") <= t).groupBy("signal_id").agg(F.max_by("v", F.struct("t", "seq")).alias("now"), F.expr(f"max_by(v, struct(t, seq)) FILTER (WHERE t < {int(t)})").alias("was"), F.max(F.col("t") == t).alias("hit"), F.first("width").alias("width"))
-    every = tr.groupBy("signal_id").agg(F.first("width").alias("width")).join(both.drop("width"), "signal_id", "left")
-    now, was = F.coalesce("now", F.lit(UNSET)), F.coalesce("was", F.lit(UNSET))
+    return tr.groupBy("signal_id").agg(*around(t), F.first("width").alias("width")).select("signal_id", shown_around("", radix).alias("value"))
+
+
+def around(t: int, name: str = "") -> list:
+    """Aggregates over a signal's records: the last values up to and before t, and is there a record at t."""
+    at = F.struct("t", "seq")
+    return [F.max_by(F.when(F.col("t") <= t, F.col("v")), F.when(F.col("t") <= t, at)).alias(f"{name}now"), F.max_by(F.when(F.col("t") < t, F.col("v")), F.when(F.col("t") < t, at)).alias(f"{name}was"), F.max(F.col("t") == t).alias(f"{name}hit")]
+
+
+def shown_around(name: str, radix: str):
+    """The display value from the columns of ``around`` and width."""
+    held, hit = F.col(f"{name}now"), F.col(f"{name}hit")
+    now, was = F.coalesce(held, F.lit(UNSET)), F.coalesce(f"{name}was", F.lit(UNSET))
     a, b = values.scalar(was), values.scalar(now)
-    one = F.when(F.col("hit") & (a == "0") & (b == "1"), "rising").when(F.col("hit") & (a == "1") & (b == "0"), "falling").otherwise(b)
-    many = F.when(F.col("now").isNotNull() & (now != was), F.lit("changing")).otherwise(values.shown(now, F.col("width"), radix))
-    return every.select("signal_id", F.when(F.col("width") <= 1, one).otherwise(many).alias("value"))
+    one = F.when(hit & (a == "0") & (b == "1"), "rising").when(hit & (a == "1") & (b == "0"), "falling").otherwise(b)
+    many = F.when(held.isNotNull() & (now != was), F.lit("changing")).otherwise(values.shown(now, F.col("width"), radix))
+    return F.when(F.col("width") <= 1, one).otherwise(many)
 
 
 def snapshot(signals: DataFrame, tr: DataFrame, paths: list[str], t: int, radix: str = "hex") -> DataFrame:
     """path, value of each asked path; ``x`` for a path that isn't known."""
     asked = signals.sparkSession.createDataFrame([(p,) for p in paths], "path string")
     known = asked.join(signals.select("path", "signal_id", "width"), "path", "left")
-    own = tr.join(F.broadcast(known.select("signal_id", "width").distinct()), "signal_id")  # as many rows as paths were asked for
+    own = tr.join(known.select("signal_id", "width").distinct(), "signal_id")
     found = shown_at(own, t, radix)
     blank = F.when(F.col("signal_id").isNull() | (F.col("width") <= 1), F.lit("x")).otherwise(values.shown(F.lit(UNSET), F.col("width"), radix))
     return known.join(found, "signal_id", "left").select("path", F.coalesce("value", blank).alias("value"))
@@ -198,11 +208,11 @@ def changes(signals: DataFrame, tr: DataFrame, start: int, end: int, radix: str
     return rows.join(signals.select("signal_id", "path"), "signal_id").select("t", "path", "seq", F.when(F.col("edge") == "toggle", F.lit("anyedge")).otherwise(F.col("edge")).alias("edge"), before.alias("before"), values.display(F.col("v"), F.col("width"), radix).alias("after"), "glitch")
 
 
-def step_clock(tr: DataFrame, t: int, offsets: list[int]) -> DataFrame:
+def step_clock(tr: DataFrame, t: int, offsets: list[int], ticks: int | None = None) -> DataFrame:
     """signal_id, offset, t: the k-th rising edge after (k > 0) or before (k < 0) the last one up to t, which is
     offset 0; null where the log has no such edge. An edge one tick after the edge it is searched from is passed
     over, as each forward search starts a tick later."""
-    ups = edges(tr).filter(F.col("edge") == "posedge").select("signal_id", "t").distinct()
+    ups = edges(tr, ticks).filter(F.col("edge") == "posedge").select("signal_id", "t").distinct()
     order = W.partitionBy("signal_id").orderBy("t")
     ranked = ups.withColumn("k", F.row_number().over(order))
     base = ups.filter(F.col("t") <= t).groupBy("signal_id").agg(F.max("t").alias("base"))

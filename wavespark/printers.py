@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavespark.operators.graph import Trace
+from wavespark.operators.graph import Trace, source_reason
 
 
 def rows_json(df: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def hierarchy_text(rows: DataFrame) -> str:
 
 def whereis_json(node: DataFrame, params: DataFrame) -> str:
     row = node.first()
-    return json.dumps({"found": row is not None} | ((row.asDict() | {"params": [p.asDict() for p in params.collect()]}) if row else {}))
+    return json.dumps({"found": row is not None} | ((row.asDict() | {"params": [p.asDict() for p in params.collect()], "source_unavailable_reason": source_reason(row.asDict())}) if row else {}))
 
 
 def find_json(hits: DataFrame, suggestions: DataFrame) -> str:

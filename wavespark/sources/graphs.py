@@ -39,16 +39,19 @@ def fingerprint(files: list[str], arguments: list[str]) -> str:
 
 
 def up_to_date(manifest: str, files: list[str], arguments: list[str]) -> bool:
-    """Was the graph made from just these? Else note that it is being made now."""
-    now = fingerprint(files, arguments)
-    if os.path.exists(manifest):
-        with open(manifest) as f:
-            if f.read().strip() == now:
-                return True
+    """Was a graph made, to its end, from just these?"""
+    if not os.path.exists(manifest):
+        return False
+    with open(manifest) as f:
+        return f.read().strip() == fingerprint(files, arguments)
+
+
+def note_made(manifest: str, made_from: str) -> None:
+    """Note that the graph is made. ``made_from``: the fingerprint taken before the build began, so that a file that
+    changed meanwhile counts as changed."""
     with open(f"{manifest}.tmp", "w") as f:
-        f.write(now)
+        f.write(made_from)
     os.replace(f"{manifest}.tmp", manifest)
-    return False
 
 
 def source_slices(spark: SparkSession, spans: DataFrame) -> DataFrame:
