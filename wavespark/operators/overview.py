@@ -9,10 +9,6 @@ from pyspark.sql.window import Window as W
 from wavespark.functions import values
 from wavespark.model import OVERVIEW_SEGMENTS, UNSET
 from wavespark.operators.carry import carry, settle
-from wavespark.operators.temporal import seeded
-
-#: resolutions tried at once
-PROBES = 7
 
 _SEGMENT = ["start", "end", "state", "value", "transitions", "unique_values"]
 
@@ -62,30 +58,49 @@ def overview(tr: DataFrame, start: int, end: int, resolution, radix: str = "hex"
 
 
 def auto_resolution(tr: DataFrame, start: int, end: int, segments: int = OVERVIEW_SEGMENTS, ticks: int | None = None) -> DataFrame:
-    """signal_id, resolution: the least from 1 to the window's span that leaves ``segments`` segments at most.
-
-    The count changes only at 1 and just above a gap between records, and never grows with the resolution. So the
-    gaps, found in one pass, are all that can be the answer; a search tries PROBES of them at once, and only signals whose
-    answer is still open go on."""
-    span = max(1, end - start)
-    log = settle(seeded(tr.filter(F.col("t") <= end), start + 1).select("signal_id", "t", "seq", "v", "width"))
-    inside = carry(log.filter(F.col("t") > start), F.col("t"), "pt", ticks)
-    gaps = inside.filter("pt is not null").select("signal_id", F.least(F.col("t") - F.col("pt") + 1, F.lit(span)).alias("r"))
+    """signal_id, resolution: the least from 1 to the window's ticks that is estimated to leave ``segments`` segments at
+    most, else the window's ticks; 1 without records in (start, end].
+
+    The estimate looks at times alone: one segment up to the first record, one from each burst's last record on, and
+    one for each burst of several records. A gap g parts bursts at the resolutions up to g; and the record before it starts
+    a burst of several at those above g, up to the gap before. So each gap adds one over two ranges of resolutions, and
+    running sums of where ranges begin and end give the estimate at every resolution, in one pass over the log. At
+    resolution 1, bursts are records of one time: what follows a tick later, or at the window's end not at all, has no
+    segment between."""
+    span = max(1, end - start + 1)
     every = tr.select("signal_id").distinct()
-    options = gaps.filter("r > 1").unionByName(every.withColumn("r", F.lit(1).cast("long"))).unionByName(every.withColumn("r", F.lit(span).cast("long"))).distinct()
-    # options in order, numbered; at the last, span, there is nothing left to try
-    options = settle(options.withColumn("k", F.row_number().over(W.partitionBy("signal_id").orderBy("r"))))
-    state = settle(options.groupBy("signal_id").agg(F.lit(1).alias("lo"), F.max("k").alias("hi")))
-    while not (open_ := state.filter("lo < hi")).isEmpty():
-        steps = F.transform(F.sequence(F.lit(1), F.lit(PROBES)), lambda j: F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * j / (PROBES + 1)).cast("int"))
-        probe = open_.select("signal_id", F.explode(F.array_distinct(steps)).alias("k")).join(options, ["signal_id", "k"])
-        probe = probe.select("signal_id", "k", F.col("r").alias("__r"), F.concat_ws(":", "k", "signal_id").alias("each"))
-        shown = overview(log.join(probe, "signal_id").select(F.col("each").alias("signal_id"), "t", "seq", "v", "width", "__r"), start, end, "__r", ticks=ticks)
-        n = shown.groupBy(F.col("signal_id").alias("each")).agg(F.count("*").alias("n")).join(probe, "each")
-        best = n.groupBy("signal_id").agg(F.min(F.when(F.col("n") <= segments, F.col("k"))).alias("good"), F.max(F.when(F.col("n") > segments, F.col("k"))).alias("bad"))
-        left = state.join(best, "signal_id", "left")
-        state = settle(left.select("signal_id", F.least("hi", F.greatest(F.col("lo"), F.coalesce(F.col("bad") + 1, F.col("lo")))).alias("lo"), F.least("hi", F.coalesce("good", "hi")).alias("hi")))
-    return state.select("signal_id", F.col("hi").alias("k")).join(options, ["signal_id", "k"]).select("signal_id", F.col("r").alias("resolution"))
+    rows = tr.filter(F.col("t").between(start + 1, end)).select("signal_id", "t", "seq")
+    rows = carry(rows, F.col("t"), "__pt", ticks).withColumn("g", F.col("t") - F.col("__pt")).drop("__pt")
+    rows = carry(rows, F.col("g"), "pg", ticks)
+
+    def step(when, at, n):
+        return F.when(when, F.struct(at.cast("long").alias("r"), F.lit(n).cast("long").alias("n")))
+
+    g, pg, one = F.col("g"), F.col("pg"), F.lit(1)
+    several = pg.isNull() | (g < pg)
+    tick = (g == 1) & (pg == 0)
+    steps = F.array(step(g >= 1, one, 1), step(g >= 1, g + 1, -1), step(several, g + 1, 1), step(several & pg.isNotNull(), pg + 1, -1), step(tick, one, -1), step(tick, F.lit(2), 1))
+    of_gaps = rows.filter("g is not null").select("signal_id", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("s"))
+    at = F.struct("t", "seq")
+    ends = rows.groupBy("signal_id").agg(F.max("t").alias("t"), F.max_by("g", at).alias("g"), F.max_by(F.when(g > 0, g), F.when(g > 0, at)).alias("wide"))
+    still = (F.col("t") == end) & (F.col("g") == 0)
+    of_ends = ends.select("signal_id", F.explode(F.filter(F.array(step(F.lit(True), one, 2), step(still, one, -1), step(still & F.col("wide").isNotNull(), F.col("wide") + 1, 1)), lambda x: x.isNotNull())).alias("s"))
+    sums = of_gaps.unionByName(of_ends).select("signal_id", "s.r", "s.n").filter(F.col("r") <= span).groupBy("signal_id", "r").agg(F.sum("n").alias("n"))
+    running = carry_sum(sums, ticks)
+    best = running.filter(F.col("count") <= segments).groupBy("signal_id").agg(F.min("r").alias("resolution"))
+    busy = ends.select("signal_id", F.lit(span).cast("long").alias("__span"))
+    return every.join(best, "signal_id", "left").join(busy, "signal_id", "left").select("signal_id", F.coalesce("resolution", "__span", F.lit(1)).cast("long").alias("resolution"))
+
+
+def carry_sum(sums: DataFrame, ticks: int | None) -> DataFrame:
+    """Add ``count``, the running sum of n by r; with ``ticks`` chunk by chunk of r."""
+    if ticks is None:
+        return sums.withColumn("count", F.sum("n").over(W.partitionBy("signal_id").orderBy("r")))
+    rows = settle(sums).withColumn("__c", F.floor(F.col("r") / ticks).cast("long"))
+    whole = rows.groupBy("signal_id", "__c").agg(F.sum("n").alias("__n"))
+    before = whole.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy("signal_id").orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own = F.sum("n").over(W.partitionBy("signal_id", "__c").orderBy("r"))
+    return rows.withColumn("count", own).join(before, ["signal_id", "__c"]).withColumn("count", F.col("count") + F.col("__before")).drop("__c", "__before")
 
 
 def auto_overview(tr: DataFrame, start: int, end: int, radix: str = "hex", ticks: int | None = None) -> DataFrame:

@@ -8,14 +8,18 @@ The star schema stands for a design: region, nation, customer and orders are its
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wavespark.functions import bits, paths, values
 from wavespark.operators import catalog, graph, mapping, overview, ranking, temporal
-from wavespark.operators.carry import chunk_ticks
+from wavespark.operators.carry import chunk_ticks, settle
 from wavespark.plans import derived, expression
+from wavespark.sources import sinks
+from wavespark.sources.vcd import VcdSource
 from wavespark.streaming import transitions
 
 HOUR = 3_600_000_000
@@ -81,13 +85,15 @@ def edge_count(spark, d):
 @_query("""WITH {TR}, e AS (SELECT *, coalesce(lag(v) OVER (PARTITION BY signal_id ORDER BY t, seq), 'x') AS pv FROM tr)
 SELECT signal_id, count(*) FILTER (pv = '0' AND v = '1' AND t BETWEEN {MID} AND {END}) AS count, 'posedge' AS mode FROM e GROUP BY signal_id""")
 def count_transitions_window(spark, d):
-    return temporal.count_edges(_tr(spark, d), _MID, _END, "rising")
+    tr = _tr(spark, d)
+    return temporal.count_edges(tr, _MID, _END, "rising", chunk_ticks(tr))
 
 
 @_query("""WITH {TR}, e AS (SELECT *, coalesce(lag(bits) OVER (PARTITION BY signal_id ORDER BY t, seq), 'U') AS pv FROM tr)
 SELECT signal_id, count(*) FILTER (pv <> bits AND t BETWEEN {MID} AND {END}) AS count, 'toggle' AS mode FROM e GROUP BY signal_id""")
 def count_vector_toggles(spark, d):
-    return temporal.count_edges(_vec(spark, d), _MID, _END, "posedge")
+    tr = _vec(spark, d)
+    return temporal.count_edges(tr, _MID, _END, "posedge", chunk_ticks(tr))
 
 
 @_query("""WITH {TR}, e AS (SELECT *, coalesce(lag(v) OVER (PARTITION BY signal_id ORDER BY t, seq), 'x') AS pv FROM hours),
@@ -95,7 +101,8 @@ s AS (SELECT signal_id, max_by(v, (t, seq)) FILTER (t <= {MID} // 3600000000) AS
 SELECT e.signal_id, greatest(0, count(*) FILTER (e.pv <> e.v AND t BETWEEN {MID} // 3600000000 AND {END} // 3600000000) - CASE WHEN any_value(s.v) <> any_value(s.pv) THEN 1 ELSE 0 END) AS count, 'anyedge' AS mode
 FROM e JOIN s ON e.signal_id = s.signal_id GROUP BY e.signal_id""")
 def count_exclusive(spark, d):
-    return temporal.count_edges_from(_tr(spark, d, HOUR), _MID // HOUR, _END // HOUR, "any")
+    tr = _tr(spark, d, HOUR)
+    return temporal.count_edges_from(tr, _MID // HOUR, _END // HOUR, "any", chunk_ticks(tr))
 
 
 @_query("""WITH {TR} SELECT signal_id, max_by(v, (t, seq)) AS v FROM tr WHERE t <= {MID} GROUP BY signal_id""")
@@ -128,13 +135,15 @@ def asof_join_orders(spark, d):
 @_query("""WITH {TR}, p AS (SELECT signal_id, t, max_by(v, seq) AS lv FROM hours GROUP BY ALL), q AS (SELECT *, coalesce(lag(lv) OVER (PARTITION BY signal_id ORDER BY t), 'U') AS pv FROM p)
 SELECT h.signal_id, coalesce(min(h.t) FILTER (pv = '0' AND v = '1' AND h.t > {MID} // 3600000000), -1) AS t FROM hours h JOIN q ON h.signal_id = q.signal_id AND h.t = q.t GROUP BY h.signal_id""")
 def find_edge_fwd(spark, d):
-    return temporal.find_edge(_tr(spark, d, HOUR), "posedge", _MID // HOUR)
+    tr = _tr(spark, d, HOUR)
+    return temporal.find_edge(tr, "posedge", _MID // HOUR, ticks=chunk_ticks(tr))
 
 
 @_query("""WITH {TR}, e AS (SELECT *, coalesce(lag(v) OVER (PARTITION BY signal_id ORDER BY t, seq), 'U') AS pv FROM hours)
 SELECT signal_id, coalesce(max(t) FILTER (pv = '1' AND v = '0' AND t <= {MID} // 3600000000), -1) AS t FROM e GROUP BY signal_id""")
 def find_edge_bwd(spark, d):
-    return temporal.find_edge(_tr(spark, d, HOUR), "negedge", _MID // HOUR, forward=False)
+    tr = _tr(spark, d, HOUR)
+    return temporal.find_edge(tr, "negedge", _MID // HOUR, False, chunk_ticks(tr))
 
 
 @_query("""WITH {TR} SELECT signal_id, CASE WHEN max_by(v, (t, seq)) FILTER (t <= {MID}) = 'x' THEN {MID} ELSE coalesce(min(t) FILTER (t > {MID} AND v = 'x'), -1) END AS t FROM tr GROUP BY signal_id""")
@@ -209,7 +218,8 @@ u AS (SELECT DISTINCT signal_id, t FROM e WHERE pv = '0' AND v = '1'), r AS (SEL
 b AS (SELECT signal_id, max(k) AS k0 FROM r WHERE t <= {MID} GROUP BY signal_id), o AS (SELECT DISTINCT signal_id, unnest([-2, 0, 3]) AS "offset" FROM tr)
 SELECT o.signal_id, o."offset", r.t FROM o LEFT JOIN b ON o.signal_id = b.signal_id LEFT JOIN r ON r.signal_id = b.signal_id AND r.k = b.k0 + o."offset" """)
 def clock_steps(spark, d):
-    return temporal.step_clock(_tr(spark, d), _MID, [-2, 0, 3])
+    tr = _tr(spark, d)
+    return temporal.step_clock(tr, _MID, [-2, 0, 3], chunk_ticks(tr))
 
 
 _OVERVIEW = """WITH {TR}, x AS (SELECT signal_id, t, seq, {V} AS v FROM hours WHERE t <= {END} // 3600000000), p AS (SELECT signal_id, {W} AS w, {MID} // 3600000000 AS a, {END} // 3600000000 AS b, 12 AS res FROM hours GROUP BY signal_id),
@@ -236,13 +246,24 @@ def overview_segments(spark, d):
 
 @_query(_OVERVIEW.replace("{V}", "'b' || bits").replace("{W}", "12"))
 def overview_vectors(spark, d):
-    return overview.overview(_vec(spark, d, HOUR), _MID // HOUR, _END // HOUR, 12, "bin")
+    tr = _vec(spark, d, HOUR)
+    return overview.overview(tr, _MID // HOUR, _END // HOUR, 12, "bin", chunk_ticks(tr))
 
 
-@_query()
+_AUTO = """WITH {TR}, win AS (SELECT signal_id, t, seq, t - lag(t) OVER (PARTITION BY signal_id ORDER BY t, seq) AS gap FROM hours WHERE t > {MID} // 3600000000 AND t <= {END} // 3600000000),
+tries AS (SELECT DISTINCT signal_id, unnest([1, 241, least(coalesce(gap, 0) + 1, 241)]) AS r FROM win),
+i AS (SELECT win.signal_id, r, t, sum(CASE WHEN gap IS NULL OR gap >= r THEN 1 ELSE 0 END) OVER (PARTITION BY win.signal_id, r ORDER BY t, seq) AS k FROM win JOIN tries ON win.signal_id = tries.signal_id),
+g AS (SELECT signal_id, r, k, min(t) AS ft, max(t) AS lt, count(*) AS n FROM i GROUP BY ALL), g2 AS (SELECT *, lt + CASE WHEN n >= 2 AND ft = lt THEN 1 ELSE 0 END AS after FROM g),
+g3 AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY signal_id, r ORDER BY k), {MID} // 3600000000) AS cursor FROM g2),
+c AS (SELECT signal_id, r, sum(CASE WHEN cursor < ft THEN 1 ELSE 0 END + CASE WHEN n >= 2 THEN 1 ELSE 0 END) + CASE WHEN max_by(after, k) <= {END} // 3600000000 THEN 1 ELSE 0 END AS n FROM g3 GROUP BY ALL),
+b AS (SELECT signal_id, min(r) AS r FROM c WHERE n <= 20 OR r = 241 GROUP BY 1)
+SELECT s.signal_id, coalesce(b.r, 1) AS resolution FROM (SELECT DISTINCT signal_id FROM hours) s LEFT JOIN b ON s.signal_id = b.signal_id"""
+
+
+@_query(_AUTO)
 def overview_auto(spark, d):
     tr = _tr(spark, d, HOUR)
-    return overview.auto_resolution(tr, _MID // HOUR, _END // HOUR)
+    return overview.auto_resolution(tr, _MID // HOUR, _END // HOUR, ticks=chunk_ticks(tr))
 
 
 @_query("""WITH {TR}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY signal_id ORDER BY t, seq) AS gap FROM tr),
@@ -316,7 +337,7 @@ def bits_slice_concat_reverse(spark, d):
 def _derived(spark, d, text: str) -> DataFrame:
     tr = _tr(spark, d, HOUR).drop("width")
     tree = expression.parse(text)
-    return derived.derive(_signals(spark, d), tr, tree, dict.fromkeys(expression.references(tree), 1), "derived", _MID // HOUR, _END // HOUR).select("t", "v")
+    return derived.derive(_signals(spark, d), tr, tree, dict.fromkeys(expression.references(tree), 1), "derived", _MID // HOUR, _END // HOUR, chunk_ticks(tr)).select("t", "v")
 
 
 def _derived_sql(value: str) -> str:
@@ -449,12 +470,12 @@ def hier_tree(spark, d):
     return graph.hierarchy(_hier(spark, d), "ASIA", 1)[0].select("path", "parent", "depth")
 
 
-@_query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_linenumber = 7),
+@_query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
 b AS (SELECT DISTINCT 's' || s AS src, 'p' || p AS dst FROM e UNION SELECT 'p' || p, 's' || s FROM e),
 w AS (SELECT 's1' AS node, 0 AS depth UNION SELECT b.dst, depth + 1 FROM w JOIN b ON b.src = w.node WHERE depth < 3)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY node""")
 def cone_bfs(spark, d):
-    e = _read(spark, d, "lineitem").filter("l_linenumber = 7").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    e = _read(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return graph.cone(both, spark.createDataFrame([("s1",)], "node string"), 3)
 
@@ -506,9 +527,9 @@ def global_nets(spark, d):
     return graph.global_nets(_ends(spark, d), s, 40)
 
 
-@_query(f"WITH {_ENDS} SELECT ep_id, CASE WHEN kind = 'expr' THEN 100 ELSE -10 END + CASE WHEN path = 'p1' THEN 0 WHEN starts_with(path, 'p1') THEN 20 ELSE 0 END AS score FROM ends WHERE sig_id <= 10")
+@_query(f"WITH {_ENDS} SELECT ep_id, CASE WHEN kind = 'expr' THEN 100 ELSE -10 END + CASE WHEN path = 'p1' THEN 0 WHEN starts_with(path, 'p1') THEN 20 ELSE 0 END AS score FROM ends")
 def endpoint_order(spark, d):
-    return graph.sort_endpoints(_ends(spark, d).filter("sig_id <= 10"), "p1").select("ep_id", "score")
+    return graph.sort_endpoints(_ends(spark, d), "p1").select("ep_id", "score")
 
 
 @_query(f"WITH {_DESIGN} SELECT path, max(n) AS n FROM (SELECT replace(path, 'building', 'machinery') AS path, 1 AS n FROM design UNION ALL SELECT path, 1 FROM design) GROUP BY path")
@@ -583,14 +604,278 @@ def rank_scores(spark, d):
     return _scores(spark, d).select("signal_id", "value", "toggles", "is_constant", "activity", "closeness", F.col("stuck").cast("long").alias("stuck"), F.col("total").cast("long").alias("total"))
 
 
-@_query(f"""WITH {_SCORES}, o AS (SELECT DISTINCT 'u' || o_custkey % 1500 AS path, o_orderkey AS ep_id FROM orders WHERE o_orderkey % 50 = 0),
-t AS (SELECT DISTINCT l_orderkey AS ep_id, 'u' || l_suppkey AS path FROM lineitem WHERE l_orderkey % 50 = 0), b AS (SELECT t.ep_id, max(coalesce(activity + stuck, 0)) AS best FROM t LEFT JOIN q ON t.path = q.signal_id GROUP BY t.ep_id)
+@_query(f"""WITH {_SCORES}, o AS (SELECT DISTINCT 'u' || o_custkey % 1500 AS path, o_orderkey AS ep_id FROM orders),
+t AS (SELECT DISTINCT l_orderkey AS ep_id, 'u' || l_suppkey AS path FROM lineitem), b AS (SELECT t.ep_id, max(coalesce(activity + stuck, 0)) AS best FROM t LEFT JOIN q ON t.path = q.signal_id GROUP BY t.ep_id)
 SELECT o.ep_id, o.path, CAST(coalesce(activity + stuck, 0) + coalesce(best, 0) AS BIGINT) AS score, 'low' AS confidence FROM o LEFT JOIN q ON o.path = q.signal_id LEFT JOIN b ON o.ep_id = b.ep_id""")
 def explain_candidates(spark, d):
-    o = _read(spark, d, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("ep_id"), F.concat(F.lit("u"), (F.col("o_custkey") % 1500).cast("string")).alias("path"), F.lit("").alias("assignment")).distinct()
-    refs = _read(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("ep_id"), F.lit("rhs").alias("side"), F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("path")).distinct()
+    o = _read(spark, d, "orders").select(F.col("o_orderkey").alias("ep_id"), F.concat(F.lit("u"), (F.col("o_custkey") % 1500).cast("string")).alias("path"), F.lit("").alias("assignment")).distinct()
+    refs = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("ep_id"), F.lit("rhs").alias("side"), F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("path")).distinct()
     return ranking.explanations(o, refs, _scores(spark, d).withColumnRenamed("signal_id", "signal")).select("ep_id", "path", "score", "confidence")
 
+def rank_lists_rows(found: DataFrame) -> DataFrame:
+    """The ranked lists below one another: list, place, signal."""
+    order = {"all_signals": [F.desc("total")], "most_active_near_time": [F.desc("closeness"), F.desc("activity")], "most_stuck_in_window": [F.desc("stuck")], "unchanged_candidates": []}
+    out = None
+    for name, rows in ranking.rankings(found).items():
+        place = F.row_number().over(W.partitionBy("list").orderBy(*order[name], "signal_id"))
+        rows = rows.select(F.lit(name).alias("list"), "*").select("list", place.alias("place"), F.col("signal_id").alias("signal"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@_query(f"""WITH {_SCORES} SELECT 'all_signals' AS list, CAST(row_number() OVER (ORDER BY activity + closeness + stuck DESC, signal_id) AS INTEGER) AS place, signal_id AS signal FROM q
+UNION ALL SELECT 'most_active_near_time', CAST(row_number() OVER (ORDER BY closeness DESC, activity DESC, signal_id) AS INTEGER), signal_id FROM q WHERE closeness > 0 OR activity > 0
+UNION ALL SELECT 'most_stuck_in_window', CAST(row_number() OVER (ORDER BY stuck DESC, signal_id) AS INTEGER), signal_id FROM q WHERE is_constant
+UNION ALL SELECT 'unchanged_candidates', CAST(row_number() OVER (ORDER BY signal_id) AS INTEGER), signal_id FROM q WHERE toggles = 0""")
+def rank_lists(spark, d):
+    return rank_lists_rows(_scores(spark, d))
+
+
+@_query(f"""WITH {{TR}}, w AS (SELECT * FROM hours WHERE t BETWEEN {_R0} AND {_R1} AND t <> {_R0}), e AS (SELECT DISTINCT signal_id FROM hours),
+f AS (SELECT signal_id, min(struct_pack(d := abs(t - {_RT}), t := t)) FILTER (t >= {_RT}) AS own, min(struct_pack(d := abs(t - {_RT}), t := t)) AS other, max(t) AS last_t FROM w GROUP BY signal_id)
+SELECT e.signal_id, last_t, coalesce(own, other).t AS closest_t, coalesce(own, other).d AS distance, CASE WHEN coalesce(own, other).d = 0 THEN 'exact' WHEN coalesce(own, other).t < {_RT} THEN 'before' WHEN coalesce(own, other).t > {_RT} THEN 'after' END AS direction, own IS NOT NULL AS preferred
+FROM e LEFT JOIN f ON e.signal_id = f.signal_id""")
+def rank_loads(spark, d):
+    """Scores for loads: the closest record is sought at or after the time."""
+    return _scores(spark, d, "loads").select("signal_id", "last_t", "closest_t", "distance", "direction", "preferred")
+
+
+# --- values with unknown bits ---
+
+_A4 = "CASE seq % 5 WHEN 0 THEN 'x' || substr(bits, 2) WHEN 1 THEN substr(bits, 1, 11) || 'z' WHEN 2 THEN replace(bits, '1', 'z') ELSE bits END"
+_FOUR = f"WITH {{TR}}, n AS (SELECT seq, {_A4} AS a, lpad(bin(user_id % 4096), 12, '0') AS b, CAST({_NUM} AS BIGINT) AS p, user_id % 4096 AS q FROM tr)"
+
+
+def _four(spark, d) -> DataFrame:
+    """seq, a (with x and z in some rows) and b, of 12 bits."""
+    e, s = F.col("bits"), F.col("seq") % 5
+    a = F.when(s == 0, F.concat(F.lit("x"), F.substring(e, 2, 11))).when(s == 1, F.concat(F.substring(e, 1, 11), F.lit("z"))).when(s == 2, F.replace(e, F.lit("1"), F.lit("z"))).otherwise(e)
+    return _events(spark, d).select("seq", a.alias("a"), F.lpad(F.bin(F.col("user_id") % 4096), 12, "0").alias("b"))
+
+
+def _each_bit(rule: str) -> str:
+    return f"array_to_string(list_transform(range(1, 13), lambda i: {rule.replace('$a', 'substr(a, i, 1)').replace('$b', 'substr(b, i, 1)')}), '')"
+
+
+_OR4 = "CASE WHEN $a = '1' OR $b = '1' THEN '1' WHEN $a = '0' AND $b = '0' THEN '0' ELSE 'x' END"
+
+
+@_query(f"""{_FOUR} SELECT seq, {_each_bit("CASE WHEN $a = '0' OR $b = '0' THEN '0' WHEN $a = '1' AND $b = '1' THEN '1' ELSE 'x' END")} AS both, {_each_bit(_OR4)} AS either, {_each_bit("CASE WHEN $a IN ('x', 'z') THEN 'x' WHEN $a = $b THEN '0' ELSE '1' END")} AS differ,
+{_each_bit("CASE $a WHEN '0' THEN '1' WHEN '1' THEN '0' ELSE 'x' END")} AS inverted, translate({_each_bit(_OR4)}, '01', '10') AS neither FROM n""")
+def bits_four_state(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _four(spark, d).select("seq", bits.bitwise("&", a, b).alias("both"), bits.bitwise("|", a, b).alias("either"), bits.bitwise("^", a, b).alias("differ"), bits.invert(a).alias("inverted"), bits.bitwise("~|", a, b).alias("neither"))
+
+
+@_query(f"""{_FOUR}, k AS (SELECT *, regexp_matches(a, '[xz]') AS odd FROM n) SELECT seq, CASE WHEN contains(a, '0') THEN '0' WHEN odd THEN 'x' ELSE '1' END AS every, CASE WHEN contains(a, '1') THEN '1' WHEN odd THEN 'x' ELSE '0' END AS any,
+CASE WHEN odd THEN 'x' ELSE CAST(length(replace(a, '0', '')) % 2 AS VARCHAR) END AS parity, CASE WHEN odd THEN 'x' WHEN contains(a, '1') THEN '0' ELSE '1' END AS nothing,
+CASE WHEN NOT odd AND contains(a, '1') AND contains(b, '1') THEN '1' WHEN (NOT odd AND NOT contains(a, '1')) OR NOT contains(b, '1') THEN '0' ELSE 'x' END AS and_then, CASE WHEN (NOT odd AND contains(a, '1')) OR contains(b, '1') THEN '1' WHEN odd THEN 'x' ELSE '0' END AS or_else FROM k""")
+def bits_logic(spark, d):
+    """Reductions and logical operators, where a value with any unknown bit has no truth."""
+    a, b = F.col("a"), F.col("b")
+    return _four(spark, d).select("seq", bits.reduce("&", a).alias("every"), bits.reduce("|", a).alias("any"), bits.reduce("^", a).alias("parity"), bits.logical_not(a).alias("nothing"), bits.logical("&&", a, b).alias("and_then"), bits.logical("||", a, b).alias("or_else"))
+
+
+@_query(f"""{_FOUR}, k AS (SELECT *, regexp_matches(a, '[xz]') AS odd FROM n) SELECT seq, CASE WHEN odd THEN 'x' WHEN p = q THEN '1' ELSE '0' END AS eq, CASE WHEN odd THEN 'x' WHEN p <> q THEN '1' ELSE '0' END AS ne, CASE WHEN odd THEN 'x' WHEN p < q THEN '1' ELSE '0' END AS lt,
+CASE WHEN odd THEN 'x' WHEN p >= q THEN '1' ELSE '0' END AS ge, CASE WHEN a = b THEN '1' ELSE '0' END AS same, CASE WHEN a <> b THEN '1' ELSE '0' END AS not_same FROM k""")
+def bits_compare(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _four(spark, d).select("seq", *(bits.compare(op, a, b).alias(name) for op, name in (("==", "eq"), ("!=", "ne"), ("<", "lt"), (">=", "ge"), ("===", "same"), ("!==", "not_same"))))
+
+
+@_query(f"""{_FOUR}, k AS (SELECT *, regexp_matches(a, '[xz]') AS odd, CAST(least(q % 16, 12) AS INTEGER) AS s FROM n) SELECT seq, CASE WHEN odd THEN repeat('x', 12) ELSE rpad(substr(a, s + 1), 12, '0') END AS up, CASE WHEN odd THEN repeat('x', 12) ELSE lpad(substr(a, 1, 12 - s), 12, '0') END AS down FROM k""")
+def bits_shift(spark, d):
+    a, b = F.col("a"), F.substring("b", 9, 4)
+    return _four(spark, d).select("seq", bits.shift("<<", a, b).alias("up"), bits.shift(">>", a, b).alias("down"))
+
+
+@_query(f"""{_FOUR}, k AS (SELECT *, regexp_matches(a, '[xz]') AS odd, CAST({_NUM.replace("(bits", "(translate(a, 'xz', '00')")} AS BIGINT) AS z FROM n) SELECT seq, CASE WHEN odd THEN repeat('x', 12) ELSE lpad(bin((p - q + 4096) % 4096), 12, '0') END AS minus, CASE WHEN odd THEN repeat('x', 12) ELSE lpad(bin(p * q % 4096), 12, '0') END AS times,
+CASE WHEN odd OR q = 0 THEN repeat('x', 12) ELSE lpad(bin(p // q), 12, '0') END AS over, CASE WHEN odd THEN repeat('x', 12) ELSE lpad(bin(CAST(p AS HUGEINT) * p * p % 4096), 12, '0') END AS cube, lpad(bin((4096 - z) % 4096), 12, '0') AS negated FROM k""")
+def bits_arithmetic(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _four(spark, d).select("seq", *(bits.arithmetic(op, a, b, 12).alias(name) for op, name in (("-", "minus"), ("*", "times"), ("/", "over"))), bits.arithmetic("**", a, F.lit("11"), 12).alias("cube"), bits.negate(a, 12).alias("negated"))
+
+
+@_query("""WITH {TR}, w AS (SELECT seq, repeat(bits, 8) AS wide FROM tr) SELECT seq, 'd' || CAST(list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(wide, ''), lambda c: CAST(c AS HUGEINT))), lambda x, y: x * 2 + y) AS VARCHAR) AS dec,
+'h' || array_to_string(list_transform(range(0, 24), lambda i: lower(hex(CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr(wide, i * 4 + 1, 4), ''), lambda c: CAST(c AS BIGINT))), lambda x, y: x * 2 + y) AS BIGINT)))), '') AS hex FROM w""")
+def radix_wide(spark, d):
+    """96 bits, beyond a long."""
+    v, w = F.concat(F.lit("b"), F.repeat("bits", F.lit(8))), F.lit(96)
+    return _events(spark, d).select("seq", values.shown(v, w, "dec").alias("dec"), values.shown(v, w, "hex").alias("hex"))
+
+
+# --- derived signals: more operators, buses, and queries on them ---
+
+
+@_query(_derived_sql("CASE WHEN a = '0' THEN '0' ELSE 'x' END"))
+def derived_unknown_reference(spark, d):
+    """A name without a signal is x."""
+    return _derived(spark, d, "u1 & no_such_signal | u2 & 1'b0")
+
+
+@_query(_derived_sql("CASE WHEN a = b THEN '1' ELSE '0' END"))
+def derived_case_equality(spark, d):
+    return _derived(spark, d, "u1 === u2")
+
+
+@_query(_derived_sql("CASE WHEN a = '0' OR b = '1' THEN '1' WHEN a = '1' AND b = '0' THEN '0' ELSE 'x' END"))
+def derived_logic(spark, d):
+    return _derived(spark, d, "!u1 || u2")
+
+
+@_query(_derived_sql("CASE WHEN a = 'x' OR b = 'x' THEN 'bxx' ELSE 'b' || lpad(bin((CAST(a AS BIGINT) + CAST(b AS BIGINT)) % 2), 2, '0') END"))
+def derived_sum(spark, d):
+    """Each sum is as wide as its operands: u1 + u2 is a bit, and the constant makes the whole two."""
+    return _derived(spark, d, "u1 + u2 + 2'b00")
+
+
+def _registry(spark, d) -> derived.Registry:
+    made = derived.Registry({"u1": 1, "u2": 1, "u3": 1}, {})
+    made.create_concat("bus", ["u1", "u2", "u1"])
+    made.create_reversed("mirror", "bus")
+    made.create_slice("low", "mirror", 1, 0)
+    made.create_expression("differs", "u1 ^ u2")
+    made.create_expression("opposite", "~u1")
+    made.create_concat("bus2", ["u1", "u2", "opposite"])
+    return made
+
+
+def _registered(spark, d, name: str) -> DataFrame:
+    tr = _tr(spark, d, HOUR).drop("width")
+    return _registry(spark, d).log(_signals(spark, d), tr, name, _MID // HOUR, _END // HOUR, chunk_ticks(tr))
+
+
+@_query(_derived_sql("'b' || b || a"))
+def bus_slice_of_reversed(spark, d):
+    """Bits 1 and 0 of the mirrored bus {u1, u2, u1}."""
+    return _registered(spark, d, "low").select("t", "v")
+
+
+@_query(_derived_sql("'b' || a || b || translate(a, '01', '10')"))
+def bus_concat(spark, d):
+    """A bus of recorded and derived signals."""
+    return _registered(spark, d, "bus2").select("t", "v")
+
+
+_DIFFERS = _derived_sql("CASE WHEN a = 'x' OR b = 'x' THEN 'x' WHEN a = b THEN '0' ELSE '1' END").replace("SELECT t, v FROM l WHERE p IS NULL OR p <> v", "")
+
+
+@_query(_DIFFERS.rstrip().rstrip(",") + """, c AS (SELECT t, v FROM l WHERE p IS NULL OR p <> v), d AS (SELECT t, v, lag(v) OVER (ORDER BY t) AS pv, lead(t) OVER (ORDER BY t) AS nt FROM c)
+SELECT 'posedges' AS what, count(*) FILTER (pv = '0' AND v = '1') AS n FROM d UNION ALL SELECT 'high_ticks', CAST(coalesce(sum(coalesce(nt - 1, {END} // 3600000000) - t + 1) FILTER (v = '1'), 0) AS BIGINT) FROM d
+UNION ALL SELECT 'first_high', coalesce(min(t) FILTER (pv = '0' AND v = '1'), -1) FROM d""")
+def derived_queries(spark, d):
+    """Edges and value intervals of a derived signal."""
+    log = _registered(spark, d, "differs").withColumn("width", F.lit(1))
+    start, end = _MID // HOUR, _END // HOUR
+    edges = temporal.count_edges(log, start + 1, end, "posedge").select(F.lit("posedges").alias("what"), F.col("count").alias("n"))
+    spans = temporal.value_intervals(log, "1", 1, start, end, merge=True).agg(F.lit("high_ticks").alias("what"), F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("n"))
+    first = temporal.find_edge(log, "posedge", start).select(F.lit("first_high").alias("what"), F.col("t").alias("n"))
+    return edges.unionByName(spans).unionByName(first)
+
+
+@_query("""WITH {TR} SELECT coalesce(max(t), -1) AS t FROM tr WHERE signal_id IN ('u1', 'u2')""")
+def derived_last_transition(spark, d):
+    return _registry(spark, d).last_transition(_signals(spark, d), _tr(spark, d), "low")
+
+
+# --- snapshots and files ---
+
+
+@_query("""WITH {TR}, a AS (SELECT unnest(['u1', 'u2', 'u7', 'nowhere']) AS path), n AS (SELECT signal_id, max_by(v, (t, seq)) FILTER (t <= {MID} // 3600000000) AS v, coalesce(max_by(v, (t, seq)) FILTER (t < {MID} // 3600000000), 'x') AS pv, bool_or(t = {MID} // 3600000000) AS hit FROM hours GROUP BY signal_id)
+SELECT path, CASE WHEN hit AND pv = '0' AND v = '1' THEN 'rising' WHEN hit AND pv = '1' AND v = '0' THEN 'falling' ELSE coalesce(v, 'x') END AS value FROM a LEFT JOIN n ON a.path = n.signal_id""")
+def snapshot_paths(spark, d):
+    return temporal.snapshot(_signals(spark, d), _tr(spark, d, HOUR).drop("width"), ["u1", "u2", "u7", "nowhere"], _MID // HOUR)
+
+
+def _folder(spark) -> str:
+    settle(spark.range(1))  # so that the shared folder is known
+    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+@_query("""WITH {TR}, g AS (SELECT DISTINCT signal_id, unnest(range({MID} // 3600000000, {END} // 3600000000 + 1, 24)) AS t FROM tr WHERE signal_id IN ('u1', 'u2', 'u3'))
+SELECT g.t, g.signal_id AS path, coalesce((SELECT max_by(v, (h.t, h.seq)) FROM hours h WHERE h.signal_id = g.signal_id AND h.t <= g.t), 'x') AS value FROM g""")
+def dump_samples(spark, d):
+    """A dump of samples as JSON lines, read back."""
+    at = _folder(spark)
+    sinks.dump_wave(_signals(spark, d), _tr(spark, d, HOUR).drop("width"), ["u1", "u2", "u3"], _MID // HOUR, _END // HOUR, at, "samples", 24)
+    return spark.read.schema("t long, path string, value string").json(at)
+
+
+# fixed values: a small dump, and what it holds
+_VCD = "$timescale 1ns $end\n$scope module top $end\n$var wire 1 ! a $end\n$var reg 4 # n [3:0] $end\n$upscope $end\n$enddefinitions $end\n#0\n$dumpvars\n0!\nbxx01 #\n$end\n#5\n1!\n#9\n0!\n1!\nb1010 #\n#12\nx!\n"
+
+
+@_query("SELECT * FROM (VALUES ('top.a', 0, '0', false), ('top.a', 5, '1', false), ('top.a', 9, '0', true), ('top.a', 9, '1', true), ('top.a', 12, 'x', false), ('top.n[3:0]', 0, 'bxx01', false), ('top.n[3:0]', 9, 'b1010', false)) AS v(path, t, v, glitch)")
+def vcd_scan(spark, d):
+    """A VCD file, read by the data source."""
+    at = _folder(spark)
+    spark.createDataFrame([(_VCD.rstrip("\n"),)], "value string").coalesce(1).write.text(at)
+    file = next(r["file"] for r in spark.read.text(at).select(F.input_file_name().alias("file")).distinct().collect())
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(VcdSource)
+    read = lambda table: spark.read.format("vcd").option("path", file).option("table", table).load()
+    return read("transitions").join(read("signals").select("path", "signal_id"), "signal_id").select("path", F.col("t").cast("int").alias("t"), "v", "glitch")
+
+
+# --- walks ---
+
+
+def _wide_open() -> dict:
+    return {"depth": 1 << 20, "max_nodes": 1 << 20}
+
+
+def _supplier_graph(spark, d) -> dict[str, DataFrame]:
+    names = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("sig_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"))
+    ends = _ends(spark, d).drop("lo", "hi")
+    return {"signals": names, "endpoints": ends, "refs": ends.select("ep_id", F.lit("rhs").alias("side"), F.lit(0).alias("pos"), F.lit("none").alias("path")).limit(0), "assign_lhs": spark.createDataFrame([], "lhs_path string, sig_id long"), "global": spark.createDataFrame([], "source string, category string, sink string")}
+
+
+def _reach(role: str) -> str:
+    other = {"driver": "load", "load": "driver"}[role]
+    return f"""WITH RECURSIVE {_ENDS}, own AS (SELECT DISTINCT sig_id, path FROM ends WHERE role = '{role}' AND kind = 'port'), far AS (SELECT DISTINCT sig_id, path FROM ends WHERE role = '{other}'),
+hop AS (SELECT DISTINCT own.sig_id AS a, far.sig_id AS b FROM own JOIN far ON own.path = far.path AND own.sig_id <> far.sig_id), w AS (SELECT CAST(1 AS BIGINT) AS sig_id UNION SELECT hop.b FROM w JOIN hop ON hop.a = w.sig_id),
+e AS (SELECT ends.*, l_linenumber AS line FROM ends JOIN lineitem ON ep_id = l_orderkey * 8 + l_linenumber JOIN w ON ends.sig_id = w.sig_id WHERE role = '{role}' AND kind = 'expr')
+SELECT path, line, CASE WHEN lo = hi THEN '[' || lo || ']' ELSE '[' || hi || ':' || lo || ']' END AS bit_map FROM e GROUP BY ALL"""
+
+
+def _reached(spark, d, mode: str) -> DataFrame:
+    found = graph.trace(_supplier_graph(spark, d), "s1", graph.TraceOptions(mode=mode, **_wide_open()))
+    return spark.createDataFrame([(e["path"], e["line"], e["bit_map"]) for e in found.endpoints], "path string, line int, bit_map string")
+
+
+@_query(_reach("driver"))
+def trace_driver_reach(spark, d):
+    """All logic that drives a signal through any number of ports: no limit is met, so the order of the walk is nothing."""
+    return _reached(spark, d, "drivers")
+
+
+@_query(_reach("load"))
+def trace_load_reach(spark, d):
+    return _reached(spark, d, "loads")
+
+
+@_query("SELECT 'n' || n_nationkey AS path, 'global-clock-sink' AS assignment FROM nation WHERE n_regionkey = 2")
+def trace_global_net(spark, d):
+    """Sinks of a clock: regions are clocks, their nations the sinks."""
+    nets = _read(spark, d, "nation").select(F.concat(F.lit("r_clk"), F.col("n_regionkey").cast("string")).alias("source"), F.lit("clock").alias("category"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("sink"))
+    found = graph.trace(_supplier_graph(spark, d) | {"global": nets}, "r_clk2", graph.TraceOptions(mode="loads"))
+    return spark.createDataFrame([(e["path"], e["assignment"]) for e in found.endpoints], "path string, assignment string")
+
+
+@_query(f"""WITH {_DESIGN} SELECT CASE WHEN sig_id % 2 = 0 THEN path || '[3]' ELSE 'TOP.' || path || '[1][0]' END AS path, path || '[7:0]' AS mapped FROM design""")
+def map_signals_by_bits(spark, d):
+    """Structural names with bits, to waveform paths with others."""
+    s = _design(spark, d)
+    names = s.select(F.when(F.col("sig_id") % 2 == 0, F.concat("path", F.lit("[3]"))).otherwise(F.concat(F.lit("TOP."), "path", F.lit("[1][0]"))).alias("path"))
+    return mapping.map_signals(names, s.select(F.concat("path", F.lit("[7:0]")).alias("path")), by_base=True)
+
+
+@_query(f"WITH {_DESIGN} SELECT path, type FROM design WHERE path = 'ASIA.n8.' || (SELECT min(split_part(path, '.', 3)) FROM design WHERE starts_with(path, 'ASIA.n8.'))")
+def signal_info(spark, d):
+    s = _design(spark, d)
+    first = s.filter(F.col("path").startswith("ASIA.n8.")).agg(F.min(paths.leaf(F.col("path")))).first()[0]
+    return catalog.info(s, f"ASIA.n8.{first}").select("path", "type")
+
 
 def queries() -> dict:
     return dict(QUERIES)
