@@ -805,7 +805,7 @@ def dump_samples(spark, d):
 _VCD = "$timescale 1ns $end\n$scope module top $end\n$var wire 1 ! a $end\n$var reg 4 # n [3:0] $end\n$upscope $end\n$enddefinitions $end\n#0\n$dumpvars\n0!\nbxx01 #\n$end\n#5\n1!\n#9\n0!\n1!\nb1010 #\n#12\nx!\n"
 
 
-@_query("SELECT * FROM (VALUES ('top.a', 0, '0', false), ('top.a', 5, '1', false), ('top.a', 9, '0', true), ('top.a', 9, '1', true), ('top.a', 12, 'x', false), ('top.n[3:0]', 0, 'bxx01', false), ('top.n[3:0]', 9, 'b1010', false)) AS v(path, t, v, glitch)")
+@_query("SELECT * FROM (VALUES ('top.a', 0, '0', false), ('top.a', 5, '1', false), ('top.a', 9, '0', true), ('top.a', 9, '1', true), ('top.a', 12, 'x', false), ('top.n', 0, 'bxx01', false), ('top.n', 9, 'b1010', false)) AS v(path, t, v, glitch)")
 def vcd_scan(spark, d):
     """A VCD file, read by the data source."""
     at = _folder(spark)
@@ -814,7 +814,7 @@ def vcd_scan(spark, d):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(VcdSource)
     read = lambda table: spark.read.format("vcd").option("path", file).option("table", table).load()
-    return read("transitions").join(read("signals").select("path", "signal_id"), "signal_id").select("path", F.col("t").cast("int").alias("t"), "v", "glitch")
+    return temporal.mark_glitches(read("transitions")).join(read("signals").select("path", "signal_id"), "signal_id").select("path", F.col("t").cast("int").alias("t"), "v", "glitch")
 
 
 # --- walks ---
