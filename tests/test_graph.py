@@ -100,6 +100,27 @@ def test_hierarchy(design):
     assert node.first()["module"] == "consumer" and [(r["name"], r["value"]) for r in params.collect()] == [("WIDTH", "6"), ("DOUBLE_WIDTH", "12")]
 
 
+def test_sources(design):
+    rows = {r["path"]: (r["source"], r["source_unavailable_reason"]) for r in graph.with_source(design["hier"]).collect()}
+    assert rows["top.u_prod"] == ("f.sv:5", None)
+    made = graph.with_source(graph.hierarchy_of(design["signals"]))
+    assert {(r["path"], r["parent"], r["source"], r["source_unavailable_reason"]) for r in made.collect()} == {(p, q, None, graph.NO_SOURCE) for p, q in (("top", ""), ("top.u_prod", "top"), ("top.u_cons", "top"), ("top.pkt", "top"))}
+    rows, stops = graph.hierarchy(graph.hierarchy_of(design["signals"]))
+    assert [r["path"] for r in rows.collect()] == ["top", "top.pkt", "top.u_cons", "top.u_prod"] and stops == []
+
+
+def test_struct_members(spark):
+    """A struct in a struct, in a type that holds itself: two levels by default, offsets add up."""
+    fields = spark.createDataFrame([("pkt", "data", 0, 7, "word"), ("pkt", "valid", 7, 1, None), ("word", "lo", 0, 3, "word"), ("word", "hi", 3, 4, "bit")], "type string, name string, bit_off int, bit_width int, of string")
+    signals = spark.createDataFrame([("a.p", "pkt"), ("a.q", "logic"), ("a.r", None)], "path string, type string")
+    rows = lambda depth: {(r["path"], r["parent"], r["bit_off"], r["bit_width"], r["level"]) for r in graph.struct_members(signals, fields, depth).collect()}
+    one = {("a.p.data", "a.p", 0, 7, 1), ("a.p.valid", "a.p", 7, 1, 1)}
+    two = one | {("a.p.data.lo", "a.p.data", 0, 3, 2), ("a.p.data.hi", "a.p.data", 3, 4, 2)}
+    assert rows(1) == one and rows(2) == two
+    assert rows(3) == two | {("a.p.data.lo.lo", "a.p.data.lo", 0, 3, 3), ("a.p.data.lo.hi", "a.p.data.lo", 3, 4, 3)}
+    assert graph.struct_members(signals, fields.limit(0)).isEmpty()
+
+
 def test_members_and_checks(design):
     found = {(r["member_id"], r["ep_id"]) for r in graph.member_endpoints(design).collect()}
     assert found == {(SIGNALS.index("top.pkt.data"), 9)}

@@ -271,8 +271,11 @@ class Engine:
     def trace(self, signal: str, **options) -> graph.Trace:
         return graph.trace(self.graph, signal, graph.TraceOptions(**options))
 
-    def hier(self, root: str | None = None, depth: int = 8, max_nodes: int = 5000):
-        return graph.hierarchy(self.graph["hier"], root, depth, max_nodes)
+    def hier(self, root: str | None = None, depth: int = 8, max_nodes: int = 5000, show_source: bool = False):
+        """Of a design without a hierarchy table, that of its signals' paths."""
+        nodes = self.graph["hier"] if "hier" in self.graph else graph.hierarchy_of(self.graph["signals"])
+        rows, stops = graph.hierarchy(nodes, root, depth, max_nodes)
+        return graph.with_source(rows) if show_source else rows, stops
 
     def find(self, query: str, regex: bool = False, limit: int = 20) -> tuple[DataFrame, DataFrame]:
         """Hits, and suggestions."""

@@ -32,6 +32,19 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
 
 
+def contains_any_case(name: Column, part: str) -> Column:
+    return F.contains(F.lower(name), F.lit(part.lower()))
+
+
+def equals_any_case(name: Column, other: str) -> Column:
+    return F.lower(name) == other.lower()
+
+
+def lines(text: Column) -> Column:
+    """Items of a list that is stored with a line for each; none in an empty or null text."""
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
+
+
 def glob(pattern: str) -> str:
     """Regular expression of a pattern with * and ?, for the whole path."""
     return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"

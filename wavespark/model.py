@@ -25,3 +25,4 @@ TRACE_DEPTH, TRACE_NODES, TRACE_CONE = 8, 5000, 1
 TRANSITION_LIMIT, FIND_LIMIT, SUGGESTIONS = 50, 20, 5
 OVERVIEW_SEGMENTS = 20
 GLOBAL_LOADS = 1024
+STRUCT_DEPTH = 2

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wavespark.functions import paths
-from wavespark.model import GLOBAL_LOADS, TRACE_CONE, TRACE_DEPTH, TRACE_NODES
+from wavespark.model import GLOBAL_LOADS, STRUCT_DEPTH, TRACE_CONE, TRACE_DEPTH, TRACE_NODES
 from wavespark.operators.carry import settle
 
 _CLOCK = "clk|clock"
 _RESET = "rst|reset"
+NO_SOURCE = "no source metadata recorded for this instance definition"
 
 
 def net_category(path: Column) -> Column:
@@ -41,6 +42,20 @@ def members(signals: DataFrame) -> DataFrame:
     return signals.filter("parent_sig_id is not null").join(up, "parent_sig_id").select("parent", "path", (F.col("bit_off") + F.col("bit_width") - 1).alias("hi"), F.col("bit_off").alias("lo"))
 
 
+def struct_members(signals: DataFrame, fields: DataFrame, depth: int = STRUCT_DEPTH) -> DataFrame:
+    """path, parent, bit_off, bit_width, level of the members of signals (path, type) whose type is a packed struct.
+    fields (type, name, bit_off, bit_width, of): a type's fields, and their types. Offsets count from the signal's own
+    bit 0; fields of fields follow down to ``depth`` levels, so types that hold themselves end there, too."""
+    of = fields.select(F.col("type"), F.col("name").alias("__name"), F.col("bit_off").alias("__off"), F.col("bit_width").alias("__width"), F.col("of").alias("__of"))
+    above = signals.select("path", "type", F.lit(0).alias("bit_off"))
+    out = None
+    for level in range(1, depth + 1):
+        below = above.join(of, "type").select(F.concat("path", F.lit("."), "__name").alias("path"), F.col("path").alias("parent"), (F.col("bit_off") + F.col("__off")).alias("bit_off"), F.col("__width").alias("bit_width"), F.lit(level).alias("level"), F.col("__of").alias("type"))
+        out = below if out is None else out.unionByName(below)
+        above = below.select("path", "type", "bit_off")
+    return out.drop("type")
+
+
 def member_endpoints(graph: dict[str, DataFrame]) -> DataFrame:
     """Endpoints of a member: those of its parent whose bits overlap the member's, or that have no exact bits."""
     hi, lo = paths.span(F.col("bit_map"))
@@ -58,6 +73,14 @@ def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("__g", F.sum("__new").over(order)).groupBy(*keys, "__g").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo")).drop("__g")
 
 
+def hierarchy_of(signals: DataFrame) -> DataFrame:
+    """Instances that the paths of signals name, as a ``hier`` table: for designs that come without one."""
+    scopes = signals.select(paths.parent(F.col("path")).alias("path")).filter("path != ''").distinct()
+    every = scopes.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
+    blank = F.lit(None).cast("string")
+    return every.select("path", paths.parent(F.col("path")).alias("parent"), blank.alias("module"), blank.alias("file"), F.lit(None).cast("int").alias("line"))
+
+
 def subtree_counts(signals: DataFrame) -> DataFrame:
     """path, n: signals at or below each instance path."""
     return signals.select(F.explode(paths.ancestors(F.col("path"))).alias("path"), F.col("path").alias("own")).filter("path != own").groupBy("path").agg(F.count("*").alias("n"))
@@ -148,9 +171,15 @@ def hierarchy(hier: DataFrame, root: str | None = None, depth: int = TRACE_DEPTH
     return kept.limit(max_nodes), stops
 
 
+def with_source(nodes: DataFrame) -> DataFrame:
+    """Instances with their source place, ``file:line``, and why there is none."""
+    known = F.coalesce("file", F.lit("")) != ""
+    return nodes.withColumn("source", F.when(known, F.concat_ws(":", "file", "line"))).withColumn("source_unavailable_reason", F.when(~known, NO_SOURCE))
+
+
 def source_reason(node: dict) -> str | None:
     """Why there is no source place for an instance's row."""
-    return None if node.get("file") else "no source metadata recorded for this instance definition"
+    return None if node.get("file") else NO_SOURCE
 
 
 def whereis(graph: dict[str, DataFrame], instance: str) -> tuple[DataFrame, DataFrame]:

@@ -470,6 +470,38 @@ def hier_tree(spark, d):
     return graph.hierarchy(_hier(spark, d), "ASIA", 1)[0].select("path", "parent", "depth")
 
 
+@_query(f"""WITH {_DESIGN}, p AS (SELECT DISTINCT split_part(path, '.', 1) AS a, split_part(path, '.', 2) AS b FROM design) SELECT a || '.' || b AS path, a AS parent FROM p UNION SELECT a, '' FROM p""")
+def hierarchy_from_signals(spark, d):
+    return graph.hierarchy_of(_design(spark, d)).select("path", "parent")
+
+
+@_query("""WITH s AS (SELECT 's' || s_suppkey AS path, n_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT path || '.key' AS path, path AS parent, 0 AS bit_off, 8 AS bit_width, 1 AS level FROM s UNION ALL SELECT path || '.region', path, 8 + CAST(n AS INTEGER) % 3, 4, 1 FROM s UNION ALL SELECT path || '.region.id', path || '.region', 9 + CAST(n AS INTEGER) % 3, 3, 2 FROM s""")
+def struct_members(spark, d):
+    """Suppliers as structs: a nation is a type of two fields, one of which is a struct itself, with one that is cut off."""
+    n, r = _read(spark, d, "nation"), _read(spark, d, "region")
+    nation, region = F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))
+    field = lambda t, kind, name, off, width, of: t.select(kind.alias("type"), F.lit(name).alias("name"), off.cast("int").alias("bit_off"), F.lit(width).alias("bit_width"), of.cast("string").alias("of"))
+    fields = field(n, nation, "key", F.lit(0), 8, F.lit(None)).unionByName(field(n, nation, "region", 8 + F.col("n_nationkey") % 3, 4, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))))
+    fields = fields.unionByName(field(r, region, "id", F.lit(1), 3, F.lit("bit"))).unionByName(field(r.limit(1), F.lit("bit"), "deep", F.lit(0), 1, F.lit(None)))
+    s = _read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("type"))
+    return graph.struct_members(s, fields)
+
+
+@_query(f"WITH {_DESIGN} SELECT path, contains(lower(path), 'n2') AS part, lower(split_part(path, '.', 1)) = 'asia' AS whole FROM design")
+def names_any_case(spark, d):
+    s = _design(spark, d)
+    return s.select("path", paths.contains_any_case(F.col("path"), "N2").alias("part"), paths.equals_any_case(F.substring_index("path", ".", 1), "Asia").alias("whole"))
+
+
+@_query("""SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END AS n, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS first FROM customer""")
+def line_lists(spark, d):
+    """Lists stored with a line for each item; the last item may be empty."""
+    k, two = F.col("c_custkey") % 3, F.concat_ws("\n", "c_mktsegment", "c_name")
+    found = paths.lines(F.when(k == 1, two).when(k == 2, F.concat(two, F.lit("\n"))).otherwise(""))
+    return _read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first"))
+
+
 @_query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
 b AS (SELECT DISTINCT 's' || s AS src, 'p' || p AS dst FROM e UNION SELECT 'p' || p, 's' || s FROM e),
 w AS (SELECT 's1' AS node, 0 AS depth UNION SELECT b.dst, depth + 1 FROM w JOIN b ON b.src = w.node WHERE depth < 3)

@@ -10,12 +10,16 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from wavespark.model import SIGNALS, TRANSITIONS
 
 SPLIT = 32 << 20
+#: records in an Arrow batch
+BATCH = 1 << 14
 
 
 class VcdError(ValueError):
@@ -119,8 +123,9 @@ class _Range(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, path: str, table: str, split: int):
         self.path, self.table, self.split = path, table, split
-        self.signals, self.timescale, self.start = header(path)
-        self.wanted = frozenset(s[4] for s in self.signals)
+        signals, self.timescale, self.start = header(path)
+        # readers go to each task: only with what their table needs
+        self.signals, self.wanted = (signals, frozenset()) if table == "signals" else ([], frozenset(s[4] for s in signals))
 
     def pushFilters(self, filters):
         """Equality and membership on signal_id are done here; the rest goes back to Spark."""
@@ -141,8 +146,10 @@ class _Reader(DataSourceReader):
         if self.table == "signals":
             yield from self.signals
         else:
-            for name, t, at, value in records(part.path, self.wanted, part.begin, part.end, part.first):
-                yield name, t, at, value, False
+            found = records(part.path, self.wanted, part.begin, part.end, part.first)
+            while rows := list(islice(found, BATCH)):
+                name, t, at, value = (list(c) for c in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(t, pa.int64()), pa.array(at, pa.int64()), pa.array(value, pa.string()), pa.array([False] * len(rows), pa.bool_())], ["signal_id", "t", "seq", "v", "glitch"])
 
 
 class VcdSource(DataSource):
