@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wavespark.functions import bits, paths, values
-from wavespark.operators import catalog, graph, mapping, overview, ranking, temporal
+from wavespark.operators import catalog, graph, mapping, overview, ranking, temporal, walk
 from wavespark.operators.carry import chunk_ticks, settle
 from wavespark.plans import derived, expression
 from wavespark.sources import sinks
@@ -601,8 +601,8 @@ def trace_drivers(spark, d):
     ends = _ends(spark, d).drop("lo", "hi")
     refs = ends.select("ep_id", F.lit("rhs").alias("side"), F.lit(0).alias("pos"), F.concat(F.lit("s"), (F.col("sig_id") + 1).cast("string")).alias("path"))
     none = spark.createDataFrame([], "lhs_path string, sig_id long"), spark.createDataFrame([], "source string, category string, sink string")
-    found = graph.trace({"signals": names, "endpoints": ends, "refs": refs, "assign_lhs": none[0], "global": none[1]}, "s1", graph.TraceOptions(cone=3))
-    return spark.createDataFrame([(e["ep_id"], e["path"], e["kind"]) for e in found.endpoints], "ep_id long, path string, kind string")
+    found = walk.trace_endpoints({"signals": names, "endpoints": ends, "refs": refs, "assign_lhs": none[0], "global": none[1]}, "s1", graph.TraceOptions(cone=3))
+    return found.select("ep_id", "path", "kind")
 
 
 @_query(f"WITH {_DESIGN} SELECT CASE WHEN sig_id % 2 = 0 THEN path || '[3:0]' ELSE 'TOP.' || path END AS path, path AS mapped FROM design")
