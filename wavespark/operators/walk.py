@@ -1,8 +1,9 @@
 """``graph.trace`` for walks whose endpoints are more than the driver holds: they stay rows of a DataFrame.
 
 Only where a signal leads is needed to walk: ports to endpoint paths, these to signals, expressions to operands. These
-tables are cut to ids first. The driver fetches them for the signals that the depth-first order enters, some at a time
-and twice as many each time, and gets the order of visits; the endpoints of the signals visited are a join.
+tables are cut to ids first. Where no limit can be met, the signals visited are a closure by joins. Otherwise the driver
+fetches ids for the signals that the depth-first order enters, some at a time and twice as many each time, and gets the
+order of visits. The endpoints of the signals visited are a join.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ FETCH = 64
 
 def trace_endpoints(graph: dict[str, DataFrame], signal: str, options: TraceOptions | None = None) -> DataFrame:
     """The endpoints that ``graph.trace`` gives, in no order. Of endpoints alike the one is kept that the walk meets
-    first."""
+    first; where no limit can be met, the one with the least ep_id."""
     o = options or TraceOptions()
     root, bits = paths.split_select(signal)
     spark = graph["signals"].sparkSession
@@ -67,7 +68,10 @@ def trace_endpoints(graph: dict[str, DataFrame], signal: str, options: TraceOpti
     direct = names.join(ids, F.col("name") == F.col("path")).select("way", F.lit(0).alias("rank"), "node", "halt")
     far = settle(bridge.unionByName(direct).groupBy("way", "node", "halt").agg(F.min("rank").alias("rank")))
 
-    visited, time = _depth_first(spark, at, o, steps, operands, far)
+    if o.cone <= 1 and names.count() <= min(o.max_nodes, o.depth):
+        visited, time = _closure(names.filter(F.col("node") == at["node"]).select("node", "halt"), steps, far), F.lit(0)
+    else:
+        visited, time = _depth_first(spark, at, o, steps, operands, far)
     own = lambda rows, of: rows.join(of, "node")
     if own(logic, F.broadcast(visited.limit(FETCH))).isEmpty() and own(logic, visited).isEmpty():
         led = ports.join(ids, "path").join(far.select("way", F.col("node").alias("target")), "way").filter("node != target").select("node", "ep_id")
@@ -102,6 +106,20 @@ def _lists(of: np.ndarray, *order: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(of[p[0]]), p) for p in np.split(places, cuts[1:])] if len(of) else []
 
 
+def _closure(root: DataFrame, steps: DataFrame, far: DataFrame) -> DataFrame:
+    """All signals that ports lead to, where no limit can be met: then the order of the walk decides nothing, and
+    nothing but the newest signals and paths is joined in each round."""
+    seen = front = settle(root)
+    paths_seen = None
+    while True:
+        led = front.filter(~F.col("halt")).join(steps, "node").select("way").distinct()
+        new = settle(led if paths_seen is None else led.join(paths_seen, "way", "left_anti"))
+        front = settle(far.join(new, "way").select("node", "halt").distinct().join(seen, ["node"], "left_anti"))
+        if front.isEmpty():
+            return seen.filter(~F.col("halt")).select("node")
+        paths_seen, seen = new if paths_seen is None else paths_seen.unionByName(new), seen.unionByName(front)
+
+
 def _depth_first(spark: SparkSession, at, o: TraceOptions, steps: DataFrame, operands: DataFrame | None, far: DataFrame) -> tuple[DataFrame, Column]:
     """The signals visited whose endpoints count, and the time at which the walk meets an endpoint (node, ep_id)."""
     halted: set[int] = {at["node"]} if at["halt"] else set()

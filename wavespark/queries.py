@@ -853,7 +853,8 @@ def vcd_scan(spark, d):
 
 
 def _wide_open() -> dict:
-    return {"depth": 1 << 20, "max_nodes": 1 << 20}
+    """More than any design's signals."""
+    return {"depth": 1 << 62, "max_nodes": 1 << 62}
 
 
 def _supplier_graph(spark, d) -> dict[str, DataFrame]:
@@ -871,8 +872,7 @@ SELECT path, line, CASE WHEN lo = hi THEN '[' || lo || ']' ELSE '[' || hi || ':'
 
 
 def _reached(spark, d, mode: str) -> DataFrame:
-    found = graph.trace(_supplier_graph(spark, d), "s1", graph.TraceOptions(mode=mode, **_wide_open()))
-    return spark.createDataFrame([(e["path"], e["line"], e["bit_map"]) for e in found.endpoints], "path string, line int, bit_map string")
+    return walk.trace_endpoints(_supplier_graph(spark, d), "s1", graph.TraceOptions(mode=mode, **_wide_open())).select("path", "line", "bit_map")
 
 
 @_query(_reach("driver"))
