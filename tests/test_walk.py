@@ -57,3 +57,11 @@ def test_queries_leave_endpoints_on_the_cluster(spark, data, monkeypatch):
     monkeypatch.setattr(graph, "_fetch", None)
     for name in ("trace_drivers", "trace_driver_reach", "trace_load_reach"):
         assert queries.QUERIES[name](spark, data).count() > 1
+
+
+def test_driver_reach_goes_on_through_many_ports(spark, tmp_path):
+    """Supplier k + 1 loads the part that supplier k's port leads to: 30 ports in a row, more than a walk's usual depth."""
+    items = [(k * 8, 2, k, 100 + k, "A") for k in range(1, 31)] + [(500 + k * 8, 1, k + 1, 100 + k, "N") for k in range(1, 31)] + [(9999, 2, 31, 7, "N"), (9998, 2, 40, 8, "N")]
+    spark.createDataFrame([(*r, 1.0, "O") for r in items], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_returnflag string, l_quantity double, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in range(1, 41)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(r) for r in queries.QUERIES["trace_driver_reach"](spark, str(tmp_path)).collect()] == [("p7", 2, "[2:0]")]
