@@ -38,19 +38,39 @@ def bits(v: Column, width: Column) -> Column:
     values of readers that leave the ``b`` out) in lower case as they are; empty stays empty."""
     width = width.cast("int")
     head, rest = F.lower(F.substring(v, 1, 1)), F.substring(v, F.lit(2), F.length(v))
-    return F.when(v == "", v).when(head == "h", _fit(hex_bits(rest), width)).when((head == "b") & (rest == ""), F.lit("")).when(head == "b", _fit(logic(rest), width)).otherwise(F.lower(v))
+    return F.when(v == "", v).when(head == "h", _fit(hex_bits(rest), width)).when((head == "b") & (rest == ""), F.lit("")).when(head == "b", F.when(rest.rlike("[^01]"), _fit(logic(rest), width)).otherwise(_fit(rest, width))).otherwise(F.lower(v))
 
 
 def number(b: Column, most: int = 63) -> Column:
     """Unsigned number of known bits: BIGINT up to 63 bits, DECIMAL(38, 0) up to 126."""
     if most <= 63:
         return F.conv(b, 2, 10).cast("long")
-    return F.aggregate(F.split(b, "(?<=.)(?=.)"), F.lit(0).cast("decimal(38,0)"), lambda a, c: (a * F.lit(2).cast("decimal(38,0)") + c.cast("decimal(1,0)")).cast("decimal(38,0)"))
+    part = lambda x: F.conv(F.when(x == "", "0").otherwise(x), 2, 10).cast("decimal(19,0)")
+    low = F.greatest(F.length(b) - 63, F.lit(0))
+    return part(F.substring(b, F.lit(1), low)) * F.lit(str(1 << 63)).cast("decimal(19,0)") + part(F.substring(b, low + 1, F.lit(63)))
 
 
 def decimal(b: Column) -> Column:
     """Decimal digits of known bits of up to 126."""
-    return F.when(F.length(b) <= 63, F.conv(b, 2, 10)).otherwise(number(F.when(F.length(b) > 63, b).otherwise(F.lit("0")), 126).cast("string"))
+    return _let(b, lambda b: F.when(F.length(b) <= 63, F.conv(b, 2, 10)).otherwise(number(b, 126).cast("string")))
+
+
+def _digits(b: Column, width: Column) -> Column:
+    """Hex digits of bits: 15 at a time where all of them are known."""
+    digits = F.greatest(F.ceil(width / 4), F.ceil(F.length(b) / 4)).cast("int")
+    groups = F.greatest(F.ceil(digits / 15), F.lit(1)).cast("int")
+    digit = lambda n: F.when(n == "zzzz", F.lit("z")).when(n.rlike("[^01]"), F.lit("x")).otherwise(F.lower(F.conv(n, 2, 16)))
+    each = lambda g: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: digit(F.substring(g, k * 4 + 1, F.lit(4)))), "")
+    group = lambda g: F.lpad(F.lower(F.conv(g, 2, 16)), 15, "0")
+    cut = lambda f: F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), lambda k: f(F.substring(whole, k * 60 + 1, F.lit(60)))), "")
+    whole = F.lpad(b, groups * 60, "0")
+    every = F.when(b.rlike("[^01]"), cut(each)).otherwise(cut(group))
+    return F.substring(every, groups * 15 - digits + 1, F.greatest(digits, F.lit(1)))
+
+
+def _let(x: Column, f) -> Column:
+    """f of x, where x is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def radix(name: str) -> str:
@@ -63,19 +83,17 @@ def shown(v: Column, width: Column, base: str = "hex") -> Column:
     decimals with x or z fall back to bits; text that isn't logic (reals) stays."""
     base = radix(base)
     width = width.cast("int")
-    b = bits(v, width)
+    return _let(bits(v, width), lambda b: _shown(b, width, base))
+
+
+def _shown(b: Column, width: Column, base: str) -> Column:
     odd = ~F.substring(b, 1, 1).isin("0", "1", "x", "z")
     if base == "bin":
         out = F.concat(F.lit("b"), F.when(F.length(b) < width, F.lpad(b, width, "0")).otherwise(b))
     elif base == "dec":
-        known = ~b.rlike("[^01]")
-        out = F.when(known, F.concat(F.lit("d"), decimal(F.when(known & (b != ""), b).otherwise(F.lit("0"))))).otherwise(F.concat(F.lit("b"), b))
+        out = F.when(~b.rlike("[^01]"), F.concat(F.lit("d"), decimal(b))).otherwise(F.concat(F.lit("b"), b))
     else:
-        digits = F.greatest(F.ceil(width / 4), F.ceil(F.length(b) / 4)).cast("int")
-        whole = F.lpad(b, digits * 4, "0")
-        nibbles = F.transform(F.sequence(F.lit(0), F.greatest(digits - 1, F.lit(0))), lambda k: F.substring(whole, k * 4 + 1, F.lit(4)))
-        digit = lambda n: F.when(n == "zzzz", F.lit("z")).when(n.rlike("[^01]"), F.lit("x")).otherwise(F.lower(F.conv(n, 2, 16)))
-        out = F.concat(F.lit("h"), F.array_join(F.transform(nibbles, digit), ""))
+        out = F.concat(F.lit("h"), _digits(b, width))
     return F.when(b == "", F.lit(base[0] + "x")).when(odd, b).otherwise(out)
 
 
