@@ -68,9 +68,35 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8")[:, 0].astype(_U)
 
 
+def _in_order(columns: list[np.ndarray]) -> np.ndarray:
+    """Places of rows by their columns; of rows that fit 64 bits one number each is sorted."""
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    if sum(bits) > 64:
+        return np.lexsort(columns[::-1])
+    packed = columns[0]
+    for c, b in zip(columns[1:], bits[1:], strict=True):
+        packed = (packed << _U(b)) | c if b < 64 else c
+    return np.argsort(packed)
+
+
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    """Places by shard, in order within each; 16 bits are sorted by radix."""
+    return np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each distinct key, by ascending key; for each key its place among them; and how many are alike."""
+    order = np.argsort(keys)
+    first = np.append(True, keys[order[1:]] != keys[order[:-1]])[: len(keys)]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    return order[starts], inverse, np.diff(np.append(starts, len(keys)))
+
+
 def _encode(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
     """Rows in order of their columns; the first is stored as differences."""
-    order = np.lexsort(columns[::-1])
+    order = _in_order(columns)
     columns = [c[order] for c in columns]
     parts = [_planes(np.diff(columns[0], prepend=_U(0))), *(_planes(c) for c in columns[1:]), _planes(counts[order])]
     return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
@@ -87,7 +113,7 @@ def _decode(block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
 
 def _merge(keys: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Sum the counts of equal keys; by ascending key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     return keys[at], [c[order[at]] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
@@ -128,7 +154,7 @@ class _Held:
         self._collapse()
         for _, columns, counts in self.parts:
             shard = self.shard(columns)
-            order = np.argsort(shard, kind="stable")
+            order = _by_shard(shard)
             cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
             for rows in np.split(order, cuts[1:]) if len(order) else []:
                 yield int(shard[rows[0]]), _encode([c[rows] for c in columns], counts[rows])
@@ -157,7 +183,7 @@ class Arrays:
     def find(self, shard: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each key: is it there, its place within its shard, and its values."""
         there, place, out = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), _U)
-        order = np.argsort(shard, kind="stable")
+        order = _by_shard(shard)
         cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
         for rows in np.split(order, cuts[1:]) if len(order) else []:
             hashes, values = self.shard(int(shard[rows[0]]))
@@ -204,7 +230,7 @@ class Table:
         same = values[:, 0]
         for k in range(1, values.shape[1]):
             same = pair(same, values[:, k])
-        _, first, inverse, n = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+        first, inverse, n = _distinct(same)
         often = np.argsort(-n, kind="stable")[:255]
         code = np.full(len(n), 255, np.uint8)
         code[often] = np.arange(len(often))
@@ -251,7 +277,7 @@ class Tables:
 
     def find(self, shard: np.ndarray, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
         there, out = np.zeros(len(keys), bool), np.zeros((len(keys), width), _U)
-        order = np.argsort(shard, kind="stable")
+        order = _by_shard(shard)
         cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
         for rows in np.split(order, cuts[1:]) if len(order) else []:
             k = int(shard[rows[0]])
@@ -433,7 +459,7 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
             out = [(-1, None, json.dumps(stats))]
             if k > 1:
                 ctx = _context_key(_contexts(columns)[0], bits)
-                by_context = np.argsort(ctx, kind="stable")
+                by_context = np.argsort(ctx)
                 ctx, m = ctx[by_context], n[by_context]
                 first = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
                 sums = [np.add.reduceat(x, first) for x in (m, (m == 1).astype(_U), (m == 2).astype(_U), (m > 2).astype(_U))]
@@ -483,7 +509,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 rows = np.repeat(np.arange(c.rows), c.n_words + 1)
                 first = c.word_at[:-1] + np.arange(c.rows)
                 columns = _contexts(_grams(ids[place], rows, own.order))
-                _, at, inverse = np.unique(pair(_key(columns), columns[-1]), return_index=True, return_inverse=True)
+                at, inverse, _ = _distinct(pair(_key(columns), columns[-1]))
                 logs = np.log10(own.probabilities([x[at] for x in columns]))[inverse]
                 base = np.log10((counts + 1.0) / (own.tokens + own.words + 1))[place]
                 total = np.add.reduceat(logs, first)
