@@ -49,6 +49,8 @@ HELD = 1_500_000
 #: training tokens in a shard of n-grams, about; there are at least as many shards as shuffle partitions
 SHARD = 1 << 23
 HELD_OUT = (7, 2)
+#: bytes of text that are counted or scored at once; fewer mean more calls for each shard, and words and n-grams met again
+CHUNK = 1 << 21
 
 
 def held_out():
@@ -59,24 +61,36 @@ def held_out():
 
 
 def _planes(a: np.ndarray) -> bytes:
+    """Bytes of numbers plane by plane, as many planes as the largest needs; their number comes first."""
     a = np.ascontiguousarray(a, "<u8")
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, 8).T.tobytes())
+    n = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+    return bytes([n]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :n].T).data)
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8")[:, 0].astype(_U)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    for k, plane in enumerate(raw):
+        out[:, k] = plane
+    return out.view("<u8")[:, 0].astype(_U, copy=False)
 
 
 def _in_order(columns: list[np.ndarray]) -> np.ndarray:
-    """Places of rows by their columns; of rows that fit 64 bits one number each is sorted."""
+    """Places of rows by their columns: one number each is sorted, and where its 64 bits don't hold all columns, the
+    rows that they leave alike are sorted again."""
     bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    packed, room = np.zeros(len(columns[0]), _U), 64
+    for c, b in zip(columns, bits, strict=True):
+        own = min(b, room)
+        packed = (packed << _U(own) if own < 64 else packed) | (c >> _U(b - own) if own else _U(0))
+        room -= own
+    order = np.argsort(packed)
     if sum(bits) > 64:
-        return np.lexsort(columns[::-1])
-    packed = columns[0]
-    for c, b in zip(columns[1:], bits[1:], strict=True):
-        packed = (packed << _U(b)) | c if b < 64 else c
-    return np.argsort(packed)
+        same = packed[order[1:]] == packed[order[:-1]]
+        alike = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        rows = order[alike]
+        order[alike] = rows[np.lexsort([c[rows] for c in columns[::-1]])]
+    return order
 
 
 def _by_shard(shard: np.ndarray) -> np.ndarray:
@@ -219,7 +233,7 @@ class Table:
     """One shard's hashes with rows of values."""
 
     def __init__(self, blob: np.ndarray):
-        self.at, self.low, self.code, self.book, self.place, self.rest = _from_blob(blob)
+        self.at, self.low, self.code, self.book, self.place, self.rest = _from_blob(np.asarray(blob))  # slices of a memory map itself are slow
         self.bits = (len(self.at) - 1).bit_length() - 1
 
     @staticmethod
@@ -252,17 +266,17 @@ class Table:
         if not len(self.low):
             return np.zeros(len(keys), bool), out
         own, want = self.bucket(keys, self.bits), self.rest_of(keys, self.bits)
-        low, end = self.at[own].astype(np.int64), self.at[own + 1].astype(np.int64)
-        high = end.copy()
-        for _ in range(int((high - low).max()).bit_length() if len(keys) else 0):
-            mid = (low + high) >> 1
-            less = (self.low[np.minimum(mid, len(self.low) - 1)] < want) & (low < high)
-            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
-        there = low < end
-        there[there] = self.low[low[there]] == want[there]
+        low, end = self.at.take(own).astype(np.int64), self.at.take(own + 1).astype(np.int64)
+        for k in reversed(range(int((end - low).max()).bit_length() if len(keys) else 0)):
+            last = low + ((1 << k) - 1)
+            less = self.low.take(last, mode="clip") < want
+            less &= last < end
+            np.add(low, 1 << k, out=low, where=less)
+        there = self.low.take(low, mode="clip") == want
+        there &= low < end
         at = low[there]
-        code = self.code[at]
-        values = self.book[np.minimum(code, len(self.book) - 1)].astype(_U)
+        code = self.code.take(at)
+        values = self.book.take(code, axis=0, mode="clip").astype(_U)
         if (far := code == 255).any():
             values[far] = self.rest[np.searchsorted(self.place, at[far])]
         out[there] = values
@@ -275,15 +289,20 @@ class Tables:
     def __init__(self, folder: str, name: str):
         self.at, self.open = f"{folder}/{name}", {}
 
-    def find(self, shard: np.ndarray, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, places: np.ndarray, bits: int, keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """By ascending places, whose top bits are the shard and the others in the order of its keys: look-ups go
+        through each table from one end to the other."""
         there, out = np.zeros(len(keys), bool), np.zeros((len(keys), width), _U)
-        order = _by_shard(shard)
-        cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
-        for rows in np.split(order, cuts[1:]) if len(order) else []:
-            k = int(shard[rows[0]])
+        order = None if (places[1:] >= places[:-1]).all() else np.argsort(places)
+        shard = _top(places if order is None else places[order], bits)
+        keys = keys if order is None else keys[order]
+        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(shard)], strict=True):
+            k = int(shard[lo])
             if k not in self.open:
                 self.open[k] = Table(storage.map_array(f"{self.at}-{k}.npy"))
-            there[rows], out[rows] = self.open[k].find(keys[rows])
+            rows = slice(lo, hi) if order is None else order[lo:hi]
+            there[rows], out[rows] = self.open[k].find(keys[lo:hi])
         return there, out
 
 
@@ -365,22 +384,34 @@ class Model:
         there, place, count = self.arrays("words", "n").find(shard, hashes)
         return np.where(there, self.offsets[shard] + place.astype(_U), UNKNOWN), count
 
-    def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Of the last word of each of the given order-grams."""
+    def probabilities(self, ids: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of each token after those before it, by ids of distinct words, the tokens' places among them, and the first
+        tokens of texts. Every window of 1 to ``order`` words is looked up once."""
         total, weight = self.bottom
-        word = columns[-1]
-        n = self.tables("g1").find(_shard([word], self.gram_bits), _key([word]))[1][:, 0]
+        words, bits = np.append(ids, BEGIN), self.gram_bits
+        seq = np.insert(place, np.repeat(first, self.order - 1), len(ids))
+        hashes, at = words, seq  # of the distinct windows; which of them ends at each token
+        own = mix(words)
+        n = self.tables("g1").find(own, bits, own)[1][:, 0]
         uniform = 1 / (self.words + 1)
-        p = (np.maximum(n - self._off(1, n), 0) + weight * uniform) / total if total else np.full(len(word), uniform)
+        p = (np.maximum(n - self._off(1, n), 0) + weight * uniform) / total if total else np.full(len(words), uniform)
         for k in range(2, self.order + 1):
-            own = columns[len(columns) - k :]
-            shard = _shard(own, self.gram_bits)
-            known, stats = self.tables(f"c{k}").find(shard, _context_key(own[0], self.gram_bits), 4)
-            n = self.tables(f"g{k}").find(shard, _key(own))[1][:, 0]
+            places = mix(hashes)
+            known, stats = self.tables(f"c{k}").find(places, bits, places << _U(bits), 4)
             stats = np.where(known[:, None], stats, _U(1)).astype(float)
-            longer = (np.maximum(n - self._off(k, n), 0) + stats[:, 1:] @ np.array(self.discounts[k]) * p) / stats[:, 0]
-            p = np.where(known, longer, p)
-        return p
+            share = stats[:, 1:] @ np.array(self.discounts[k]) / stats[:, 0]
+            context = np.roll(at, 1)
+            keys = pair(hashes[context], words[seq])
+            places = (places >> _U(64 - bits) << _U(64 - bits))[context] | keys >> _U(bits) if bits else keys
+            some, inverse, _ = _distinct(places)
+            context = context[some]
+            n = self.tables(f"g{k}").find(places[some], bits, keys[some])[1][:, 0]
+            longer = np.maximum(n - self._off(k, n), 0) / stats[context, 0] + share[context] * p[at[some]]
+            p = np.where(known[context], longer, p[at[some]])
+            if k < self.order:
+                hashes = pair(hashes[at[some]], words[np.roll(seq, k - 1)[some]])
+            at = inverse
+        return p[at[seq < len(ids)]]
 
     def _off(self, k: int, n: np.ndarray) -> np.ndarray:
         return np.array([0, *self.discounts[k]])[np.minimum(n, _U(3)).astype(int)]
@@ -407,7 +438,7 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(lambda c: c[0], lambda c: _top(c[0], word_bits))
         for b in batches:
-            for c in chunks(b.column(0)):
+            for c in chunks(b.column(0), CHUNK):
                 distinct, at = _tokens(c)
                 yield from _blocks(held, held.add([distinct], np.bincount(at, minlength=len(distinct))))
         yield from _blocks(held, held.send())
@@ -438,7 +469,7 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = entries()
         for b in batches:
-            for c in chunks(b.column(0)):
+            for c in chunks(b.column(0), CHUNK):
                 distinct, place = _tokens(c)
                 ids, _ = model.ids(distinct)
                 rows = np.repeat(np.arange(c.rows), c.n_words + 1)
@@ -503,14 +534,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         own = _models().setdefault(model.folder, model)  # keep the open arrays between tasks
         for b in batches:
-            for c in chunks(b.column(2)):
+            for c in chunks(b.column(2), CHUNK):
                 distinct, place = _tokens(c)
                 ids, counts = own.ids(distinct)
-                rows = np.repeat(np.arange(c.rows), c.n_words + 1)
                 first = c.word_at[:-1] + np.arange(c.rows)
-                columns = _contexts(_grams(ids[place], rows, own.order))
-                at, inverse, _ = _distinct(pair(_key(columns), columns[-1]))
-                logs = np.log10(own.probabilities([x[at] for x in columns]))[inverse]
+                logs = np.log10(own.probabilities(ids, place, first))
                 base = np.log10((counts + 1.0) / (own.tokens + own.words + 1))[place]
                 total = np.add.reduceat(logs, first)
                 n = c.n_words + 1
