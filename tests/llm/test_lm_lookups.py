@@ -47,3 +47,14 @@ def test_order_where_many_rows_share_their_first_64_bits():
     columns = [r.integers(0, 3, 4000).astype(np.uint64) << np.uint64(20) for _ in range(3)] + [r.integers(0, 1 << 20, 4000).astype(np.uint64)]
     rows = [*zip(*(c[lm._in_order(columns)].tolist() for c in columns), strict=True)]
     assert rows == sorted(zip(*(c.tolist() for c in columns), strict=True))
+
+
+def test_workers_keep_the_arrays_of_one_model(spark, monkeypatch):
+    """A long-lived worker doesn't map the arrays of all models that it ever scored with."""
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").coalesce(1)
+    models = [lm.train(docs, 2) for _ in range(3)]
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "held_out": [False], "text": ["a b c"]})
+    for m in [*models, models[0], models[0]]:
+        assert [b.num_rows for b in lm.score(docs, m)([batch])] == [1]
+        assert [*lm._cache] == [m.folder]

@@ -518,8 +518,11 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
     return model
 
 
-def _models() -> dict:
-    return _cache
+def _opened(model: Model) -> Model:
+    """The worker's own copy, with arrays that stay open between tasks; those of the model before are let go."""
+    if model.folder not in _cache:
+        _cache.clear()
+    return _cache.setdefault(model.folder, model)
 
 
 _cache: dict[str, Model] = {}
@@ -530,9 +533,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from wavespark.llm.lm import _models
+        from wavespark.llm.lm import _opened
 
-        own = _models().setdefault(model.folder, model)  # keep the open arrays between tasks
+        own = _opened(model)
         for b in batches:
             for c in chunks(b.column(2), CHUNK):
                 distinct, place = _tokens(c)
