@@ -50,7 +50,7 @@ HELD = 1_500_000
 SHARD = 1 << 23
 HELD_OUT = (7, 2)
 #: bytes of text that are counted or scored at once; fewer mean more calls for each shard, and words and n-grams met again
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 
 
 def held_out():
